@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import exact_dedup, line_dedup, mixing, sharding
+from quillmill.llm import exact_dedup, line_dedup, mixing, sentencepiece_codec, sharding, token_counts
 from quillmill.llm.common import table
 
 SHARDS = 24
+#: A SentencePiece model file.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER).select("doc_id", "n_tokens", "score")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +41,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_dedup, op5_source_mixing, op8_sharding, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op4_exact_dedup, op5_source_mixing, op8_sharding, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
