@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import exact_dedup, line_dedup, mixing, sentencepiece_codec, sharding, token_counts
+from quillmill.llm import ann, exact_dedup, line_dedup, mixing, sentencepiece_codec, sharding, token_counts, toxicity
 from quillmill.llm.common import table
 
 SHARDS = 24
@@ -31,6 +31,12 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), grade_col="toxic", split_flag=True)
+    return toxicity.predict(docs.select("doc_id", "text"), model).select("doc_id", "severity", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign(table(spark, sf_dir, "documents"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -40,8 +46,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op4_exact_dedup, op5_source_mixing, op8_sharding, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op4_exact_dedup, op5_source_mixing, op7_toxicity, op8_sharding, op9_line_dedup, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
