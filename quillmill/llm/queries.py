@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import ann, exact_dedup, line_dedup, mixing, sentencepiece_codec, sharding, token_counts, toxicity
+from quillmill.llm import ann, exact_dedup, line_dedup, mixing, pii, sentencepiece_codec, sharding, token_counts, toxicity
 from quillmill.llm.common import table
 
 SHARDS = 24
@@ -31,6 +31,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), grade_col="toxic", split_flag=True)
@@ -51,7 +55,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op4_exact_dedup, op5_source_mixing, op7_toxicity, op8_sharding, op9_line_dedup, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op4_exact_dedup, op5_source_mixing, op6_pii, op7_toxicity, op8_sharding, op9_line_dedup, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
