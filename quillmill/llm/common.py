@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +55,19 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The frame with a broadcast hint if it has at most `rows` rows (counted), else as it is, for
     Spark to join by shuffle with its skew handling. Give it a frame that is cut() already."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Characters of text that are worked on at a time.
+CHUNK = 12_000_000
+
+
+def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK) -> list[pa.RecordBatch]:
+    """The batch in slices of about `size` bytes of text, a longer text by itself."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, at = [], 0
+    while at < batch.num_rows:
+        base = int(total[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(total, base + size, "right")))
+        out.append(batch.slice(at, end - at))
+        at = end
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import ann, exact_dedup, line_dedup, mixing, pii, sentencepiece_codec, sharding, token_counts, toxicity
+from quillmill.llm import ann, exact_dedup, jaccard, line_dedup, mixing, pii, sentencepiece_codec, sharding, token_counts, toxicity
 from quillmill.llm.common import table
 
 SHARDS = 24
@@ -23,6 +23,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER).select("doc_id", "n_tokens", "score")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op4_exact_dedup, op5_source_mixing, op6_pii, op7_toxicity, op8_sharding, op9_line_dedup, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_ngram_jaccard, op4_exact_dedup, op5_source_mixing, op6_pii, op7_toxicity, op8_sharding, op9_line_dedup, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quillmill.llm import spm
-from quillmill.llm.common import fresh
+from quillmill.llm.common import chunks, fresh
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Words longer than this are searched one by one, over Python lists.
@@ -223,7 +223,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = spm.load(data.value)
         for batch in batches:
-            for b in spm.chunks(batch, name):
+            for b in chunks(batch, name):
                 offsets, ids = encode_texts(model, b.column(name))
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, pa.array(np.diff(offsets), pa.int64())], names=names)
@@ -257,7 +257,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = spm.load(data.value)
         for batch in batches:
-            for b in spm.chunks(batch, "text"):
+            for b in chunks(batch, "text"):
                 offsets, ids = encode_texts(model, b.column("text"))
                 raw, ends = ids.astype("<i4").tobytes(), (offsets * 4).tolist()
                 digests = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(ends, ends[1:])]

@@ -237,19 +237,3 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     ends = np.cumsum(lengths)
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
-
-
-#: Characters of text that are worked on at a time.
-CHUNK = 12_000_000
-
-
-def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK) -> list[pa.RecordBatch]:
-    """The batch in slices of about `size` bytes of text, a longer text by itself."""
-    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    out, at = [], 0
-    while at < batch.num_rows:
-        base = int(total[at - 1]) if at else 0
-        end = max(at + 1, int(np.searchsorted(total, base + size, "right")))
-        out.append(batch.slice(at, end - at))
-        at = end
-    return out

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillmill.llm import spm
-from quillmill.llm.common import fresh
+from quillmill.llm.common import chunks, fresh
 
 #: Stands between words in the text that the automaton reads. A word that holds it is counted by itself.
 _BREAK = "\x00"
@@ -149,7 +149,7 @@ def count(docs: DataFrame, model_path: str, text_col: str = "text", count_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = spm.load(data.value)
         for batch in batches:
-            for b in spm.chunks(batch, name):
+            for b in chunks(batch, name):
                 n, s = count_texts(model, b.column(name))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n), pa.array(s)], names=names)
 
