@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm import bloom
-from quillmill.llm.common import chunks, cut, shuffle_partitions
+from quillmill.llm.common import chunks, cut, fresh, shuffle_partitions
 from quillmill.llm.components import components
 
 WORDS = 5
@@ -371,10 +371,11 @@ def _blocks(docs: DataFrame, block: int) -> DataFrame:
     per = docs.groupBy("grp", "cls", "comp").agg(F.count("*").alias("k")).withColumn("pure", F.when(F.col("k") >= block // 2, F.col("comp")))
     key = [F.col("grp"), F.col("cls"), F.col("pure")]
     held = per.groupBy(*key).agg(F.sum("k").alias("total")).withColumn("subs", F.ceil(F.col("total") / block).cast("int"))
-    per, held = cut(per.select("grp", "cls", F.col("comp").alias("c2"), "pure")), cut(held.select("grp", "cls", F.col("pure").alias("p2"), "subs"))
-    out = docs.join(per, (docs.grp == per.grp) & (docs.cls == per.cls) & docs.comp.eqNullSafe(per.c2)).select("id", docs.grp, docs.cls, "pure")
-    out = out.join(held, (out.grp == held.grp) & (out.cls == held.cls) & out.pure.eqNullSafe(held.p2))
-    return cut(out.select("id", out.grp, out.cls, "pure", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int").alias("sub")))
+    per = cut(per.select(F.col("grp").alias("g1"), F.col("cls").alias("k1"), F.col("comp").alias("c1"), "pure"))
+    held = cut(held.select(F.col("grp").alias("g2"), F.col("cls").alias("k2"), F.col("pure").alias("c2"), "subs"))
+    same = lambda i, c: (F.col("grp") == F.col(f"g{i}")) & (F.col("cls") == F.col(f"k{i}")) & F.col(c).eqNullSafe(F.col(f"c{i}"))
+    out = docs.join(per, same(1, "comp")).join(held, same(2, "pure"))
+    return cut(out.select("id", "grp", "cls", "pure", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int").alias("sub")))
 
 
 def _meet(docs: DataFrame, blocks: DataFrame, hubs_only: bool) -> DataFrame:
@@ -415,8 +416,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block:
 
 def drop_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` with one row of each component, that with the smallest id."""
-    found = join(docs, id_col, text_col, **options)
-    gone = cut(found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct())
-    flagged = bloom.flag(docs, F.col(id_col).cast("long"), bloom.of_keys(gone, F.col("__gone")), "__maybe")
-    maybe = flagged.where("__maybe").drop("__maybe")
-    return flagged.where("not __maybe").drop("__maybe").unionByName(maybe.join(gone, maybe[id_col] == gone["__gone"], "left_anti"))
+    name, gone = fresh(docs, "__maybe_linked"), fresh(docs, "__linked")
+    lost = join(docs, id_col, text_col, **options).where(F.col(id_col) > F.col("component_id"))
+    lost = cut(lost.select(F.col(id_col).cast("long").alias(gone)).distinct())
+    flagged = bloom.flag(docs, F.col(id_col).cast("long"), bloom.of_keys(lost, F.col(gone)), name)
+    rest = flagged.where(F.col(name)).join(lost, F.col(id_col).cast("long") == F.col(gone), "left_anti")
+    return flagged.where(~F.col(name)).unionByName(rest).drop(name)
