@@ -41,8 +41,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
     per = per.withColumn("level", level)
+    # the first source that its own level does not cap has the highest such level
     fits = F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))
-    per = per.withColumn("level", F.min(fits).over(every))
+    per = per.withColumn("level", F.max(fits).over(every))
     target = F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap")))
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), target / F.col("source_size"))).otherwise(F.lit(0.0))
     return per.select("source", "source_size", target.alias("target"), rate.alias("rate"))
@@ -91,7 +92,7 @@ levels AS (
   SELECT *, ((SELECT sum(source_size) FROM per)
      - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
      / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM weighed),
-found AS (SELECT min(lv) AS level FROM levels WHERE lv <= cap / w),
+found AS (SELECT max(lv) AS level FROM levels WHERE lv <= cap / w),
 rated AS (
   SELECT source, source_size, least(cap, coalesce(level * w, cap)) AS target,
     CASE WHEN source_size > 0 THEN least(3.0, least(cap, coalesce(level * w, cap)) / source_size) ELSE 0.0 END AS rate
