@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from quillmill.llm import spm
 from quillmill.llm.common import chunks, fresh
@@ -228,7 +229,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, pa.array(np.diff(offsets), pa.int64())], names=names)
 
-    out = rest.schema.add(ids_col, "array<int>").add(count_col, "long")
+    out = rest.schema.add(ids_col, T.ArrayType(T.IntegerType())).add(count_col, "long")
     return rest.withColumn(name, docs[text_col]).mapInArrow(run, out)
 
 
