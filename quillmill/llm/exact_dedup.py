@@ -26,7 +26,8 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots:
     rows_ = bloom.flag(rows, F.col("sha"), bloom.of_repeated(rows, F.col("sha"), slots), "maybe", slots)
     single = rows_.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     again = rows_.where("maybe").select("id", "sha")
-    groups = again.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    # cut() keeps the join's two sides plain exchanges, which Spark can split where a group is large
+    groups = cut(again.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")))
     multi = again.join(groups, "sha").select("id", "keep_id", "group_size", "sha")
     return single.unionByName(multi).select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
