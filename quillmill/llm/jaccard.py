@@ -53,7 +53,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Offsets per text into the flat sorted distinct shingle hashes."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # no cast before ascii_lower(): it misreads cast slices
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     flat, ends = split.flatten(), split.offsets.to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(texts)), np.diff(ends))
     full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
