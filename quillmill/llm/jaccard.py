@@ -67,7 +67,7 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.nd
         mixed = np.full(len(h), np.uint64(words))
         for k in range(words):
             part = np.zeros(len(h), np.uint64)
-            part[: len(h) - k] = h[k:]
+            part[: max(0, len(h) - k)] = h[k:]
             mixed = (mixed ^ part) * _MIX
             mixed ^= mixed >> np.uint64(29)
         keep = np.arange(len(h)) - start[row] + words <= count[row]
