@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions import dates
+from quillmill.functions import dates, render
 from quillmill.functions.text import STOPWORDS, collapse, filled, is_useful_phrase, phrase, text, text_or, title_case, title_segments, type_label
 
 URGENT_MS = 2 * 24 * 3600 * 1000
@@ -123,3 +123,28 @@ def page_context(blocks: DataFrame, prefixes: tuple[str, ...] = PROVENANCE) -> D
     return kept.groupBy("page_id").agg(ordered(head).alias("h"), ordered(~head).alias("t")).select(
         "page_id", F.slice("h", 1, 12).alias("headings"), F.substring(F.array_join(F.slice("t", 1, 3), " "), 1, 700).alias("snippet"), F.substring(F.array_join("t", "\n"), 1, 6000).alias("body_text")
     )
+
+
+def recaps(content: DataFrame, topics: int = 6) -> DataFrame:
+    """One row per course as it is written out: course_key, summary, body_html."""
+    keyed = course_key(content)
+    refs = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("seq", "title", "course_label", "content_type"))), 1, 40), lambda r: F.struct(r["title"].alias("title"), r["course_label"].alias("course_name"), r["content_type"].alias("content_type"), F.lit("").alias("date"), F.lit("").alias("url")))
+    first = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("course_key").orderBy("seq")))
+    head = first.where(F.col("__n") <= 40).groupBy("course_key").agg(refs.alias("refs"))
+    sizes = keyed.groupBy("course_key").agg(F.count("*").alias("items"), F.min_by("course_label", "seq").alias("course_name"))
+    listed = bullets(content).groupBy("course_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "bullet"))), lambda b: b["bullet"]).alias("bullets"))
+    ranked = ranked_phrases(content, topics).groupBy("course_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "phrase"))), lambda p: p["phrase"]).alias("topics"))
+    rows = sizes.join(head, "course_key", "left").join(listed, "course_key", "left").join(ranked, "course_key", "left")
+    summary = F.concat(F.col("items").cast("string"), F.lit(" content items summarized for "), "course_name", F.lit("."))
+    return rows.select("course_key", summary.alias("summary"), render.recap_html(summary, F.col("bullets"), F.col("topics"), F.col("refs")).alias("body_html"))
+
+
+def course_seed(content: DataFrame) -> DataFrame:
+    """One row: the first course by name, its topics, terms and key items."""
+    keyed = course_key(content)
+    first = keyed.groupBy("course_key").agg(F.min_by("course_label", "seq").alias("name")).orderBy(F.collate("name", "UNICODE"), "course_key").limit(1)
+    own = content.join(keyed.join(F.broadcast(first), "course_key").select("seq"), "seq")
+    phrases = ranked_phrases(own, 8)
+    tokens = ranked_tokens(own, 10, phrases)
+    ordered = lambda df, c: df.groupBy("course_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda x: x[c]).alias(c))
+    return first.join(ordered(phrases, "phrase"), "course_key", "left").join(ordered(tokens, "label"), "course_key", "left").select("course_key", "name", F.col("phrase").alias("major_topics"), F.col("label").alias("study_concepts"))

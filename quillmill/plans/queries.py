@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions import dates, text, urls
-from quillmill.operators import chunking, crawl, dedupe, digests, extraction, inventory, planning, runs, sync
+from quillmill.operators import chunking, crawl, dedupe, digests, extraction, inventory, links, planning, runs, sync
 from quillmill.plans.oracle import SQL
 from quillmill.sources import html
 
@@ -293,6 +293,22 @@ def page_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_links(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
+def page_link_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages by kind, seen from each page's own site."""
+    p = _table(spark, sf_dir, "pages")
+    found = html.page_rows(p)[1].join(p.select("page_id", F.col("url").alias("page_url")), "page_id")
+    origin = urls.parts(F.col("page_url"))["origin"]
+    return links.page_stats(links.classify(found, origin, F.lit("7")))
+
+
+def course_recaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.recaps(_content(spark, sf_dir))
+
+
+def course_recap_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.course_seed(_content(spark, sf_dir))
+
+
 def frontier_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages of a crawl: each links to two others."""
     d = _table(spark, sf_dir, "documents").select("doc_id")
@@ -377,7 +393,7 @@ _QUERIES = (
     weekly_tasks_by_course, urgent_tasks, refs_union_all_dups, metadata_gaps_top20, rolling_7d_events, custom_window_events, content_counts_by_course_type, content_overview, content_bullets, content_overview_rollup, inventory_union,
     inventory_summary, extraction_left_merge, extraction_summary_counts, queue_recovery, enqueue_outcomes, history_top80, extraction_descriptors, course_semi_filter, visited_anti, latest_run_per_automation, run_log_top30,
     canonical_urls, url_dedupe, url_parts_classify, text_metrics, stable_hash_docs, js_gate_filter, doc_content_dedupe, merge_longest_wins, document_dedupe, token_topk_by_course, phrase_topk_by_course, chunks, chunk_counts,
-    heading_trail, page_blocks, page_links, page_link_counts, frontier_scan, sync_actions, sync_second_run, definition_overlay, plan_summary, contract_summary, readiness_counts, readiness_level, validation_checks, progress_totals,
+    heading_trail, page_blocks, page_links, page_link_counts, page_link_kinds, course_recaps, course_recap_seed, frontier_scan, sync_actions, sync_second_run, definition_overlay, plan_summary, contract_summary, readiness_counts, readiness_level, validation_checks, progress_totals,
 )
 
 

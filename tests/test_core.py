@@ -35,10 +35,10 @@ def test_text_functions(spark):
     got = spark.range(1).select(
         text.collapse(F.lit("  a  b\n\tc﻿")).alias("a"), text.text_or(F.lit(""), F.lit(None).cast("string"), F.lit("x")).alias("b"), text.word_count(F.lit(" a b  c ")).alias("c"),
         text.is_script_gate(F.lit("You need to enable\nJavaScript to run this app.")).alias("d"), text.is_script_gate(F.concat(F.lit("you need to enable javascript to run this app "), F.repeat(F.lit("w "), 40))).alias("e"),
-        text.paragraphs(F.lit("a \r\nb\r\n\r\n\r\nc\t\nd")).alias("f"), text.phrase(F.lit("Été: A-b  C1!")).alias("g"), text.title_segments(F.lit("Week 1 | Intro: abc / Calculus")).alias("h"), text.type_label(F.lit("canvas_page x-ray")).alias("i"),
+        text.paragraphs(F.lit("a \r\nb\r\n\r\n\r\nc\t\nd")).alias("f"), text.phrase(F.lit("Été: A-b  C1!")).alias("g"), text.title_segments(F.lit("Week 1 | Intro: abc / Calculus")).alias("h"), text.type_label(F.lit("file_artifact x-ray")).alias("i"),
         text.longer(F.lit("ab"), F.lit("cd")).alias("j"), text.longer(F.lit(""), F.lit("cd")).alias("k"), text.escape_html(F.lit("<a href='x'>&\"</a>")).alias("l"), text.distinct_texts(F.array(F.lit(" a"), F.lit("b"), F.lit("a "), F.lit(""))).alias("m"),
     ).first()
-    assert list(got) == ["a b c", "x", 3, True, False, ["a b", "c d"], "t a b c1", ["Week 1", "Intro", "Calculus"], "Canvas Page X-Ray", "ab", "cd", "&lt;a href=&#39;x&#39;&gt;&amp;&quot;&lt;/a&gt;", ["a", "b"]]
+    assert list(got) == ["a b c", "x", 3, True, False, ["a b", "c d"], "t a b c1", ["Week 1", "Intro", "Calculus"], "File Artifact X-Ray", "ab", "cd", "&lt;a href=&#39;x&#39;&gt;&amp;&quot;&lt;/a&gt;", ["a", "b"]]
 
 
 def test_urls(spark):
