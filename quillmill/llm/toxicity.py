@@ -28,9 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import fresh
+from quillmill.llm.common import chunks, fresh
 
 MAX_ROWS, MAX_FEATURES, MIN_ROWS = 20_000, 4_000, 3
+#: Bytes of text that are worked on at a time.
+SLICE = 3_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -95,11 +97,6 @@ def _counts(texts: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray
     return row[starts], feature[starts], np.diff(np.r_[starts, len(row)])
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    for a in range(0, batch.num_rows, rows):
-        yield batch.slice(a, rows)
-
-
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_col: str, max_rows: int) -> DataFrame:
     """(id, text, grade) of at most max_rows labelled rows (and of rows that repeat their ids)."""
     grades = labels.where(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(grade_col).cast("int")).alias("grade"))
@@ -112,7 +109,7 @@ def select_features(rows: DataFrame, max_features: int = MAX_FEATURES) -> np.nda
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in _slices(batch, 10_000):
+            for b in chunks(batch, "text", SLICE):
                 row, feature, _ = _counts(b.column("text"))
                 graded = b.column("grade").to_numpy(zero_copy_only=False)[row] > 0
                 found, back = np.unique(feature, return_inverse=True)
@@ -173,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in _slices(batch):
+            for b in chunks(batch, "text", SLICE):
                 row, feature, n = _counts(b.column("text"), features)
                 offsets = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(c.astype(np.int32))) for c in (feature, n)]
@@ -201,7 +198,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in _slices(batch):
+            for b in chunks(batch, name, SLICE):
                 n = b.num_rows
                 if len(model.features):
                     row, feature, x = _counts(b.column(name), model.features)
