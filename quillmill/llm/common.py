@@ -57,8 +57,8 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-#: Characters of text that are worked on at a time.
-CHUNK = 12_000_000
+#: Bytes of text that are worked on at a time.
+CHUNK = 6_000_000
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK) -> list[pa.RecordBatch]:

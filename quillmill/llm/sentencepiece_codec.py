@@ -203,8 +203,8 @@ def decode_ids(model: spm.Model, offsets: np.ndarray, ids: np.ndarray) -> list[s
         model.bytes_at = np.cumsum(model.bytes_len) - model.bytes_len
     out: list[str] = []
     at = 0
-    while at < len(offsets) - 1:  # some two million tokens at a time
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 2_000_000, "right")) - 1)
+    while at < len(offsets) - 1:  # some 400,000 tokens at a time
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 400_000, "right")) - 1)
         own = ids[offsets[at] : offsets[end]]
         lengths = model.bytes_len[own]
         data = model.bytes_flat[spm.spread(model.bytes_at[own], lengths)].tobytes()
@@ -215,10 +215,12 @@ def decode_ids(model: spm.Model, offsets: np.ndarray, ids: np.ndarray) -> list[s
     return out
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "token_ids", count_col: str = "n_tokens") -> DataFrame:
-    """The rows of `docs` with two more columns: token ids, and how many."""
-    rest = docs.drop(ids_col, count_col)
-    name, names = fresh(docs, "__spm_text"), [*rest.columns, ids_col, count_col]
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "token_ids", count_col: str = "n_tokens", lossless_col: str | None = None) -> DataFrame:
+    """The rows of `docs` with token ids and their number, and, if a name for it is given, a column that says whether
+    decoding the ids gives the text again (null as empty)."""
+    added = [ids_col, count_col, *filter(None, [lossless_col])]
+    rest = docs.drop(*added)
+    name, names = fresh(docs, "__spm_text"), [*rest.columns, *added]
     data = spm.shared(docs, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,13 +228,21 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
         for batch in batches:
             for b in chunks(batch, name):
                 offsets, ids = encode_texts(model, b.column(name))
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, pa.array(np.diff(offsets), pa.int64())], names=names)
+                columns = [*b.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)), pa.array(np.diff(offsets), pa.int64())]
+                if lossless_col:
+                    columns.append(_same(decode_ids(model, offsets, ids), b.column(name)))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     out = rest.schema.add(ids_col, T.ArrayType(T.IntegerType())).add(count_col, "long")
+    if lossless_col:
+        out = out.add(lossless_col, "boolean")
     return rest.withColumn(name, docs[text_col]).mapInArrow(run, out)
 
 
+def _same(texts: list[str], given: pa.Array) -> pa.Array:
+    return pc.equal(pa.array(texts, pa.string()), pc.fill_null(given.cast(pa.string()), ""))
+
+
 def decode(tokens: DataFrame, model_path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
     """The rows of `tokens` with their text. A null list has a null text."""
     rest = tokens.drop(text_col)
@@ -264,7 +274,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
                 digests = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(ends, ends[1:])]
                 texts = decode_ids(model, offsets, ids)
                 back = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-                same = pc.equal(pa.array(texts, pa.string()), pc.fill_null(b.column("text").cast(pa.string()), ""))
+                same = _same(texts, b.column("text"))
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(offsets), pa.int64()), pa.array(digests), pa.array(back), same], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "same"])
 
     kind = dict(docs.dtypes)[id_col]
