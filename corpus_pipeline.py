@@ -42,9 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in place of the text; lossless says whether decoding them gives the text again."""
     ship(spark)
-    coded = sentencepiece_codec.encode(docs, TOKENIZER)
-    back = sentencepiece_codec.decode(coded, TOKENIZER)
-    return back.withColumn("lossless", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))).drop("text", "decoded")
+    return sentencepiece_codec.encode(docs, TOKENIZER, lossless_col="lossless").drop("text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
