@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_PAGES = 250
@@ -33,5 +33,4 @@ def scan(start: DataFrame, links: DataFrame, limit: int = MAX_PAGES, hops: int =
         if not n or total >= limit:
             break
         seen, total = seen.unionByName(frontier), total + n
-    first = F.row_number().over(Window.orderBy("hop", "url"))
-    return seen.withColumn("__n", first).where(F.col("__n") <= limit).drop("__n")
+    return seen.orderBy("hop", "url").limit(limit)
