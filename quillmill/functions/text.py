@@ -145,4 +145,16 @@ def longer(a: Column, b: Column) -> Column:
 
 def mask(c: Column) -> Column:
     """The two ends of a secret."""
-    return F.when(~filled(c), F.lit("")).when(F.length(c) <= 10, F.lit("********")).otherwise(F.concat(F.substring(c, 1, 6), F.lit("…"), F.right(c, F.lit(4))))
+    return F.when(~filled(c), F.lit("")).otherwise(F.concat(F.substring(c, 1, 6), F.lit("…"), F.right(c, F.lit(4))))
+
+
+def uuid(c: Column) -> Column:
+    """The first UUID in a text, with or without hyphens, in its usual form; else the last segment of a path."""
+
+    def form(u: Column) -> Column:
+        h = F.lower(F.replace(u, F.lit("-"), F.lit("")))
+        return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+    found = F.regexp_extract(c, "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9a-fA-F]{32}", 0)
+    path = F.regexp_replace(F.regexp_replace(text(c), r"[?#].*$", ""), "/$", "")
+    return F.when(found != "", form(found)).otherwise(F.regexp_extract(path, "[^/]*$", 0))

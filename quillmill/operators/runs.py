@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.functions.text import filled
+
 # fixed values: how many runs are kept, and the states of a run
 KEEP = 30
 ACTIVE = ("planning", "collecting", "generating", "writing")
@@ -36,6 +38,17 @@ def first_active(log: DataFrame, by: str, time: str) -> DataFrame:
     return newest(log.where(is_active(F.col("status"))), by, time)
 
 
+def availability(definitions: DataFrame, has_token: Column, destination: Column, mapped: Column, content_table: Column, tasks_table: Column, courses: Column) -> DataFrame:
+    """definitions: (enabled, input_sources, target_scope, ...). Adds state and label: the first reason why an automation
+    cannot run, else ready."""
+    needs = lambda *v: F.col("input_sources").isin(*v)
+    label = (
+        F.when(~F.coalesce("enabled", F.lit(False)), "Disabled").when(~has_token, "Token needed").when(~filled(destination), "Destination needed").when(filled(mapped) & (mapped != destination), "Sync needed")
+        .when(needs("content", "both") & ~filled(content_table), "Content DB missing").when(needs("tasks", "both") & ~filled(tasks_table), "Deliverables DB missing").when((F.col("target_scope") == "course") & (courses == 0), "Course needed").otherwise("Ready")
+    )
+    return definitions.withColumn("label", label).withColumn("state", F.when(F.col("label") == "Ready", "ready").otherwise("blocked"))
+
+
 def run(definition: dict, run_id: str, collect: Callable[[], DataFrame], generate: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], int], log: Callable[[dict], None]) -> dict:
     """One run: collecting, generating, writing; every change of state goes to the log. A run of a disabled definition is
     blocked; an error ends it as failed."""
