@@ -22,8 +22,8 @@ def scan(start: DataFrame, links: DataFrame, limit: int = MAX_PAGES, hops: int =
     """(url, hop): pages reached from start (url) by links (src, dst), the nearest `limit`. Each hop joins only the
     frontier; what was seen is an anti join, and lineage is cut per hop."""
     spark = start.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillmill-"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmill-"))
     seen = start.select("url").distinct().withColumn("hop", F.lit(0)).checkpoint()
     frontier, total = seen, seen.count()
     for hop in range(1, hops + 1):
