@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The C library's way to give freed memory back, where it has one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,8 +31,8 @@ def cut(df: DataFrame) -> DataFrame:
     executor does not bring its lineage back. The folder is the session's spark.checkpoint.dir; only
     where none is set (tests, a laptop) a folder of this process is made."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillmill-"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmill-"))
     return df.checkpoint()
 
 
@@ -58,16 +63,19 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 #: Bytes of text that are worked on at a time.
-CHUNK = 6_000_000
+CHUNK = 4_000_000
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK) -> list[pa.RecordBatch]:
-    """The batch in slices of about `size` bytes of text, a longer text by itself."""
+def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `size` bytes of text, a longer text by itself. What one slice took is given
+    back before the next, as a worker's freed memory counts against its executor."""
     total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    out, at = [], 0
+    at = 0
     while at < batch.num_rows:
         base = int(total[at - 1]) if at else 0
         end = max(at + 1, int(np.searchsorted(total, base + size, "right")))
-        out.append(batch.slice(at, end - at))
+        yield batch.slice(at, end - at)
         at = end
-    return out
+        pa.default_memory_pool().release_unused()
+        if _trim:
+            _trim(0)
