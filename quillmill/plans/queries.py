@@ -11,6 +11,7 @@ from quillmill.functions import dates, text, urls
 from quillmill.operators import chunking, crawl, dedupe, digests, extraction, inventory, links, planning, runs, sync
 from quillmill.plans.oracle import SQL
 from quillmill.sources import html
+from quillmill.sources import page_facts as facts_of
 
 NOW, EVENTS_NOW = "1995-07-12 00:00:00", "2024-01-20 12:00:00"
 
@@ -289,6 +290,21 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_rows(_table(spark, sf_dir, "pages"))[1]
 
 
+def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts_of.facts(_table(spark, sf_dir, "pages"), F.lit("pages"), F.lit("Page"))
+
+
+def page_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts_of.file_links(_table(spark, sf_dir, "pages"), F.lit("files"))
+
+
+def dashboard_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as dashboards: their links are put below one of 25 courses."""
+    p = _table(spark, sf_dir, "pages")
+    html_of = F.regexp_replace("html", F.lit('href="[^"]*"'), F.concat(F.lit('href="/courses/'), F.pmod("page_id", F.lit(25)).cast("string"), F.lit('"')))
+    return facts_of.dashboard_courses(p.withColumn("html", html_of))
+
+
 def page_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_links(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("n"))
 
@@ -393,7 +409,7 @@ _QUERIES = (
     weekly_tasks_by_course, urgent_tasks, refs_union_all_dups, metadata_gaps_top20, rolling_7d_events, custom_window_events, content_counts_by_course_type, content_overview, content_bullets, content_overview_rollup, inventory_union,
     inventory_summary, extraction_left_merge, extraction_summary_counts, queue_recovery, enqueue_outcomes, history_top80, extraction_descriptors, course_semi_filter, visited_anti, latest_run_per_automation, run_log_top30,
     canonical_urls, url_dedupe, url_parts_classify, text_metrics, stable_hash_docs, js_gate_filter, doc_content_dedupe, merge_longest_wins, document_dedupe, token_topk_by_course, phrase_topk_by_course, chunks, chunk_counts,
-    heading_trail, page_blocks, page_links, page_link_counts, page_link_kinds, course_recaps, course_recap_seed, frontier_scan, sync_actions, sync_second_run, definition_overlay, plan_summary, contract_summary, readiness_counts, readiness_level, validation_checks, progress_totals,
+    heading_trail, page_blocks, page_links, page_facts, page_file_names, dashboard_courses, page_link_counts, page_link_kinds, course_recaps, course_recap_seed, frontier_scan, sync_actions, sync_second_run, definition_overlay, plan_summary, contract_summary, readiness_counts, readiness_level, validation_checks, progress_totals,
 )
 
 
