@@ -4,7 +4,8 @@ Rows are dealt into blocks of bounded size by a hash of their id. In its block e
 string of 64 sign bits of random projections; each tree is the sorted array of these strings. A query
 descends every tree to the longest prefixes it shares, then ascends in all trees at once, one bit at a
 time, until the ranges under its prefixes hold enough candidates; these are scored exactly, and the best
-of all blocks are merged. The query set meets every block, in chunks: each (block, chunk) is a group of its own.
+of all blocks are merged. Prefixes tell angles only, and a long vector at a moderate angle can have a larger inner product:
+where lengths differ, the longest entries of a block are all scored, and the forest holds the others. The query set meets every block, in chunks: each (block, chunk) is a group of its own.
 
 Equal vectors of a block are one entry of its trees that lists its smallest ids, as many as can be among the
 nearest, so a vector that a third of all rows share fills no range and costs one entry a block.
@@ -28,6 +29,8 @@ BLOCK, CHUNK = 8192, 4096
 TREES = 48
 #: A query's candidates in a block: this share of its entries, and this number at least.
 SHARE, LEAST = 0.45, 400
+#: Of the entries that are longer than the shortest by more than EVEN, this share of a block's is always scored.
+LONGEST, EVEN = 0.45, 0.02
 _BITS = 64
 
 
@@ -67,6 +70,15 @@ def _depths(forest: np.ndarray, queries: np.ndarray, want: int) -> np.ndarray:
     return depth
 
 
+def _longest(vectors: np.ndarray) -> np.ndarray:
+    """Which entries are scored for their length alone; none if all are of one length."""
+    v = vectors / np.abs(vectors).max()
+    norm = np.linalg.norm(v, axis=1)
+    out = np.zeros(len(v), bool)
+    out[np.argsort(-norm, kind="stable")[: int(LONGEST * len(v))]] = True
+    return out & (norm > norm.min() * (1 + EVEN))
+
+
 def search_block(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q_vectors: np.ndarray, k: int, trees: int = TREES, share: float = SHARE, least: int = LEAST, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, score) of the k best of a block for each query, its own id left out."""
     order = np.lexsort((ids,))
@@ -76,21 +88,24 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q_vect
     by_entry = np.argsort(entry, kind="stable")  # ids of an entry stay in order
     starts = np.searchsorted(entry[by_entry], np.arange(len(first) + 1))
     entries, n = vectors[first], len(first)
-    want = min(n, max(least, int(share * n), 2 * (k + 1)))
+    long = _longest(entries)
+    others = np.flatnonzero(~long)
+    m = len(others)
+    want = min(m, max(least, int(share * m), 2 * (k + 1)))
     q_vectors = q_vectors.astype(np.float64) + 0.0
-    strings = _hashes(entries, trees, seed)
+    strings = _hashes(entries[others], trees, seed)
     sort = np.argsort(strings, axis=1, kind="stable")
     forest = np.take_along_axis(strings, sort, axis=1)
     queries = _hashes(q_vectors, trees, seed)
     depth = _depths(forest, queries, want)
     out_q, out_id, out_s = [], [], []
-    lo, hi = np.zeros((trees, len(q_ids)), np.int64), np.full((trees, len(q_ids)), n)
+    lo, hi = np.zeros((trees, len(q_ids)), np.int64), np.full((trees, len(q_ids)), m)
     for d in np.unique(depth[depth > 0]).tolist():
         rows = np.flatnonzero(depth == d)
         for t in range(trees):
             lo[t, rows], hi[t, rows] = _ranges(forest[t], queries[t, rows], d)
     for i in range(len(q_ids)):
-        d, seen = int(depth[i]), np.zeros(n, bool)
+        d, seen = int(depth[i]), np.zeros(m, bool)
         while True:  # trees overlap: go on up until the distinct entries are enough
             for t in range(trees):
                 seen[sort[t, lo[t, i] : hi[t, i]]] = True
@@ -102,8 +117,10 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q_vect
                     a, b = _ranges(forest[t], queries[t, i : i + 1], d)
                     lo[t, i], hi[t, i] = a[0], b[0]
                 else:
-                    lo[t, i], hi[t, i] = 0, n
-        found = np.flatnonzero(seen)
+                    lo[t, i], hi[t, i] = 0, m
+        chosen = long.copy()
+        chosen[others[seen]] = True
+        found = np.flatnonzero(chosen)
         score = entries[found] @ q_vectors[i]
         if len(found) > k + 1:  # all entries that may hold one of the best k ids, ties included
             keep = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]

@@ -310,3 +310,20 @@ def test_ann(spark):
     assert found / total >= 0.9
     assert near == {2100: [(2120, 6.0)], 2120: [(2100, 6.0)]}
     assert ann.search(df.limit(0), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.25, 0.5, 1.0])
+def test_ann_of_varied_lengths(spark, spread):
+    rnd = np.random.default_rng(6)
+    x = rnd.standard_normal((3000, 64))
+    x *= (np.exp(spread * rnd.standard_normal(3000)) / np.linalg.norm(x, axis=1))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    near = collections.defaultdict(set)
+    for r in ann.search(df, F.pmod("vec_id", F.lit(20)) == 0).collect():
+        near[r.query_id].add(r.vec_id)
+    found = 0
+    for q in range(0, 3000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        found += len(near[q] & set(np.argsort(-s)[:20].tolist()))
+    assert found / (20 * 150) >= (0.98 if spread else 0.9)
