@@ -25,6 +25,21 @@ from quillmill.llm.common import fresh
 KEY = "quillmill-pseudonyms"
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: The length of an IBAN, by country.
+# fixed values: the IBAN registry
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int, lands: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return rf"(?:{lands.replace(' ', '|')})\d\d(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: One of its country's length, which ends there whatever follows.
+_KNOWN = rf"(?:{'|'.join(_iban_of(n, lands) for n, lands in IBANS.items())})(?!\w)"
 #: In this order; the first that matches at a place counts.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}+",
@@ -32,7 +47,7 @@ PATTERNS = {
     "date": r"(?<![\w.\-/])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\w\-/]|\.\d)",
     "ssn": r"(?<![\w\-])\d{3}-\d\d-\d{4}(?![\w\-])",
     "phone": r"(?<![\w+(])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\) ?\d{3,4}[ .\-]\d{3,4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\w\-])|(?<![\w+(])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?![\w\-])",
-    "iban": r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "iban": rf"(?<!\w)(?=[A-Z]{{2}}\d\d)(?:{_KNOWN}|[A-Z]{{2}}\d\d(?:(?! {_KNOWN}) ?[A-Z0-9]{{4}}){{2,7}}(?:(?! {_KNOWN}) ?[A-Z0-9]{{1,3}})?(?!\w))",
     "card": r"(?<![\w\-])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{4})(?![\w\-])",
 }
 ANY = "|".join(PATTERNS.values())

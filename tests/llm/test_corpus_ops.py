@@ -252,6 +252,24 @@ def test_pii_round_trip(spark):
     assert pii.pseudonymise(df.limit(0)).count() == 0
 
 
+def test_pii_ibans_before_words(spark):
+    tails = ["BE68 5390 0754 7034", "AT611904300234573201", "ES91 2100 0418 4502 0005 1332", "NO93 8601 1117 947", "GB82 WEST 1234 5698 7654 32", "MT84MALT011000012345MTLCAST001S"]
+    cases = [(f"paid {iban}{after}", iban) for iban in tails for after in ("", " EUR 10", " I paid", " 12 euros", " NOW", " 1234 5678", " BIC ABCD", ".")]
+    cases += [("CODE AB12 CD34 WXYZ DE89 3704 0044 0532 0130 00 EUR", "DE89 3704 0044 0532 0130 00"), ("BE68 5390 0754 7034 AT611904300234573201 EUR", "AT611904300234573201"), ("BE68 5390 0754 7034 4041 8949 7460 8795", "4041 8949 7460 8795")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    out = pii.pseudonymise(df)
+    got = {r.doc_id: r for r in out.collect()}
+    n = len(cases) - 2
+    for i, (t, iban) in enumerate(cases):
+        assert iban not in got[i].text and got[i].n_replaced == (1 if i < n else 2), t
+        assert len(got[i].text) == len(t) and (i >= n or got[i].text.split(" ")[0] == t.split(" ")[0])
+        assert i >= n or got[i].text.endswith(t.partition(iban)[2]), t
+    back = {r.doc_id: r.text for r in pii.pseudonymise(out.drop("n_replaced"), reverse=True).collect()}
+    assert [back[i] for i in range(len(cases))] == [t for t, _ in cases]
+    wrong = spark.createDataFrame([(1, "BE68 5390 0754 7035 EUR 10")], "doc_id long, text string")
+    assert pii.pseudonymise(wrong).first().text == "BE68 5390 0754 7035 EUR 10"
+
+
 def test_feistel_is_one_to_one(spark):
     days = spark.range(2000).select(pii._date(F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd"), "k", False).alias("d"))
     assert days.distinct().count() == 2000
