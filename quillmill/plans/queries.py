@@ -259,13 +259,27 @@ def document_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_topk_by_course(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over titles alone, each twice, as its SQL has it; token_topk_of_content has titles and texts."""
     return digests.ranked_tokens(_content(spark, sf_dir).drop("text_snippet").withColumn("text_snippet", F.col("title"))).select("course_key", "rank", "token", "score")
 
 
-def phrase_topk_by_course(spark: SparkSession, sf_dir: str) -> DataFrame:
+def token_topk_of_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.ranked_tokens(_content(spark, sf_dir)).select("course_key", "rank", "token", "score")
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _table(spark, sf_dir, "part")
-    items = p.select(F.col("p_brand").alias("course_id"), F.lit("").alias("course_name"), F.concat_ws(" - ", "p_name", "p_type").alias("title"), F.col("p_name").alias("text_snippet"), F.col("p_partkey").alias("seq"))
-    return digests.ranked_phrases(items, 6, collated=False)
+    return p.select(F.col("p_brand").alias("course_id"), F.lit("").alias("course_name"), F.concat_ws(" - ", "p_name", "p_type").alias("title"), F.col("p_name").alias("text_snippet"), F.col("p_partkey").alias("seq"))
+
+
+def phrase_topk_by_course(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over parts alone, as its SQL has it; phrase_topk_of_content has parts and documents."""
+    return digests.ranked_phrases(_parts(spark, sf_dir), 6, collated=False)
+
+
+def phrase_topk_of_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _parts(spark, sf_dir)
+    return digests.ranked_phrases(parts.unionByName(_content(spark, sf_dir).select(*parts.columns)), 6, collated=False)
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,7 +422,7 @@ def progress_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     weekly_tasks_by_course, urgent_tasks, refs_union_all_dups, metadata_gaps_top20, rolling_7d_events, custom_window_events, content_counts_by_course_type, content_overview, content_bullets, content_overview_rollup, inventory_union,
     inventory_summary, extraction_left_merge, extraction_summary_counts, queue_recovery, enqueue_outcomes, history_top80, extraction_descriptors, course_semi_filter, visited_anti, latest_run_per_automation, run_log_top30,
-    canonical_urls, url_dedupe, url_parts_classify, text_metrics, stable_hash_docs, js_gate_filter, doc_content_dedupe, merge_longest_wins, document_dedupe, token_topk_by_course, phrase_topk_by_course, chunks, chunk_counts,
+    canonical_urls, url_dedupe, url_parts_classify, text_metrics, stable_hash_docs, js_gate_filter, doc_content_dedupe, merge_longest_wins, document_dedupe, token_topk_by_course, token_topk_of_content, phrase_topk_by_course, phrase_topk_of_content, chunks, chunk_counts,
     heading_trail, page_blocks, page_links, page_facts, page_file_names, dashboard_courses, page_link_counts, page_link_kinds, course_recaps, course_recap_seed, frontier_scan, sync_actions, sync_second_run, definition_overlay, plan_summary, contract_summary, readiness_counts, readiness_level, validation_checks, progress_totals,
 )
 
