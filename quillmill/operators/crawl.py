@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_PAGES = 250
+#: After so many hops what was seen is put together anew, as each hop adds partitions.
+FOLD = 10
 
 
 def seeds(courses: DataFrame) -> DataFrame:
@@ -18,19 +20,23 @@ def seeds(courses: DataFrame) -> DataFrame:
     return courses.select("course_id", F.posexplode(rows).alias("seq", "s")).select("course_id", "seq", "s.url", "s.section")
 
 
-def scan(start: DataFrame, links: DataFrame, limit: int = MAX_PAGES, hops: int = 50) -> DataFrame:
-    """(url, hop): pages reached from start (url) by links (src, dst), the nearest `limit`. Each hop joins only the
-    frontier; what was seen is an anti join, and lineage is cut per hop."""
+def scan(start: DataFrame, links: DataFrame, limit: int = MAX_PAGES) -> DataFrame:
+    """(url, hop): pages reached from start (url) by links (src, dst), the nearest `limit`, however many
+    hops away. Each hop joins only the frontier; what was seen is an anti join, and lineage is cut per hop."""
     spark = start.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmill-"))
     seen = start.select("url").distinct().withColumn("hop", F.lit(0)).checkpoint()
     frontier, total = seen, seen.count()
-    for hop in range(1, hops + 1):
+    hop = 0
+    while total < limit:
+        hop += 1
         found = links.join(frontier.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).where("url is not null").distinct()
         frontier = found.join(seen.select("url"), "url", "left_anti").withColumn("hop", F.lit(hop)).checkpoint()
         n = frontier.count()
-        if not n or total >= limit:
+        if not n:
             break
         seen, total = seen.unionByName(frontier), total + n
+        if hop % FOLD == 0:
+            seen = seen.coalesce(spark.sparkContext.defaultParallelism).checkpoint()
     return seen.orderBy("hop", "url").limit(limit)

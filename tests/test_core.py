@@ -265,6 +265,12 @@ def test_crawl(spark):
     assert crawl.scan(spark.createDataFrame([("a",)], "url string"), links, limit=2).count() == 2
 
 
+def test_crawl_of_a_chain(spark):
+    links = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(100)], "src string, dst string")
+    got = crawl.scan(spark.createDataFrame([("p0",)], "url string"), links)
+    assert [(r.url, r.hop) for r in got.collect()] == [(f"p{i}", i) for i in range(101)]
+
+
 def test_planning_levels(spark):
     rows = spark.createDataFrame([("content", True, "extracted", 0, False, "extracted")], "plan_type string, holds_content boolean, extraction_status string, chunk_count int, automation_ready boolean, readiness string")
     assert planning.readiness_level(rows).first().readiness_level == "content_ready"
