@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The C library's way to give freed memory back, where it has one.
@@ -18,9 +18,6 @@ _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: The letters that lower-casing changes: only A-Z, as the operators' contracts say.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """The frame, written to the shared checkpoint folder, so that it is computed once and a lost
-    executor does not bring its lineage back. The folder is the session's spark.checkpoint.dir; only
-    where none is set (tests, a laptop) a folder of this process is made."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmill-"))
+    executor does not bring its lineage back. The folder is the session's spark.checkpoint.dir; only in
+    local mode, where all tasks run on this machine, a folder is made if none is set."""
+    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir():
+        if not folder and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillmill-"))
     return df.checkpoint()
 
 
@@ -44,10 +43,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def ascii_lower(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
