@@ -7,12 +7,14 @@ different ones stay different; whoever has the key can reverse it. What fails va
 
 Strings run through a Feistel network over their characters: in each round, every letter or digit of
 one half moves within its class (a-z, A-Z, 0-9) by a stream hashed from key, round and the other half.
-Check digits are computed anew. Dates and addresses are permuted as numbers; where a permuted value falls
-outside the valid range it is permuted again, which keeps the map one-to-one.
+Check digits are computed anew. Dates, addresses and social security numbers are permuted as numbers: their
+valid values are counted, and a Feistel network over two factors of that count moves them among each other. A date with
+slashes is read day first where that is a day of the calendar, else month first; the former and the latter
+are permuted each among themselves, so that a pseudonym is read as its value was.
 
 Defined cases: null text stays null; an empty text stays empty; repeated values and rows get equal
-pseudonyms; texts without digits or @ are passed on unread; other columns pass through; an empty table gives an
-empty result.
+pseudonyms; texts without digits or @ are passed on unread; a column named as the count is replaced, other
+columns pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions.text import let
 from quillmill.llm.common import fresh
 
-KEY = "quillmill-pseudonyms"
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: The length of an IBAN, by country.
@@ -51,8 +53,12 @@ PATTERNS = {
     "card": r"(?<![\w\-])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{4})(?![\w\-])",
 }
 ANY = "|".join(PATTERNS.values())
-#: The calendar days that count as dates, from this one on.
-FIRST_DAY, DAYS, _DAYS_A, _DAYS_B = "1900-01-01", 73049, 271, 270
+#: The calendar days that count as dates: how many from the first one on, in two factors.
+FIRST_DAY, DAYS = "1900-01-01", (229, 319)
+#: Of these the days after the 12th of a month (one less than the product), and the months.
+LATE_DAYS, MONTHS = (177, 250), 2400
+#: Social security numbers: areas 001 to 899 but 666; groups 01 to 99 times serials 0001 to 9999.
+AREAS, SERIALS = 898, 9999
 
 
 def _chars(s: Column) -> Column:
@@ -108,6 +114,12 @@ def permute_pair(a: Column, b: Column, of_a: int, of_b: int, key: str, reverse:
     return F.aggregate(_rounds(reverse), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), step)
 
 
+def _permuted(v: Column, of: tuple[int, int], key: str, reverse: bool) -> Column:
+    """A number below of[0] * of[1], permuted among these."""
+    pair = permute_pair(F.floor(v / of[1]), F.pmod(v, F.lit(of[1])), *of, key, reverse)
+    return let(pair, lambda p: p["a"] * of[1] + p["b"])
+
+
 def _refilled(form: Column, fill: Column) -> Column:
     """`form` with its letters and digits replaced, in turn, by the characters of `fill`."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
@@ -143,17 +155,6 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(_chars(s), F.lit(0), step)
 
 
-def _again(start: Column, step, valid, times: int) -> Column:
-    """step() until the value is valid, at least once."""
-    state = F.struct(start.alias("v"), F.lit(False).alias("done"))
-
-    def once(x: Column, _: Column) -> Column:
-        v = F.when(x["done"], x["v"]).otherwise(step(x["v"]))
-        return F.struct(v.alias("v"), (x["done"] | valid(v)).alias("done"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(times)), state, once, lambda x: x["v"])
-
-
 def _card(m: Column, key: str, reverse: bool) -> Column:
     d = _plain(m)
     body = permute(d.substr(F.lit(1), F.length(d) - 1), key + "card", reverse)
@@ -170,16 +171,24 @@ def _iban(m: Column, key: str, reverse: bool) -> Column:
 
 
 def _ssn(m: Column, key: str, reverse: bool) -> Column:
-    valid = lambda d: ~d.rlike("^(?:000|666|9)") & ~d.rlike("^...00") & ~d.rlike("0000$")
     d = _plain(m)
-    return F.when(valid(d), _refilled(m, _again(d, lambda v: permute(v, key + "ssn", reverse), valid, 40)))
+    area, group, serial = (F.substring(d, at, n).cast("long") for at, n in ((1, 3), (4, 2), (6, 4)))
+    a = area - F.when(area > 666, 2).otherwise(1)
+    to = permute_pair(a, (group - 1) * SERIALS + serial - 1, AREAS, 99 * SERIALS, key + "ssn", reverse)
+
+    def written(p: Column) -> Column:
+        parts = ((p["a"] + F.when(p["a"] >= 665, 2).otherwise(1), 3), (F.floor(p["b"] / SERIALS) + 1, 2), (F.pmod(p["b"], F.lit(SERIALS)) + 1, 4))
+        return F.concat(*[F.lpad(x.cast("string"), n, "0") for x, n in parts])
+
+    valid = ~d.rlike("^(?:000|666|9)") & ~d.rlike("^...00") & ~d.rlike("0000$")
+    return F.when(valid, _refilled(m, let(to, written)))
 
 
 def _phone(m: Column, key: str, reverse: bool) -> Column:
-    """The country code stays."""
+    """The country code stays; in all, numbers have 7 to 15 digits."""
     land = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(\-])|^\+\d\d?", 0)
     rest = m.substr(F.length(land) + 1, F.length(m))
-    return F.concat(land, _refilled(rest, permute(_plain(rest), key + "phone", reverse)))
+    return F.when(F.length(_plain(m)).between(7, 15), F.concat(land, _refilled(rest, permute(_plain(rest), key + "phone", reverse))))
 
 
 def _ip(m: Column, key: str, reverse: bool) -> Column:
@@ -189,30 +198,54 @@ def _ip(m: Column, key: str, reverse: bool) -> Column:
     return F.get(parts, F.lit(0))
 
 
-def _date(m: Column, key: str, reverse: bool) -> Column:
+def _late_before(month: Column) -> Column:
+    """How many late days (after the 12th of a month) lie before a month, counted from the first one."""
     zero = F.to_date(F.lit(FIRST_DAY))
-    formats = {"yyyy-MM-dd": m.contains("-"), "dd.MM.yyyy": m.contains("."), "dd/MM/yyyy": m.contains("/"), "MM/dd/yyyy": m.contains("/")}
+    return F.datediff(F.add_months(zero, month.cast("int")), zero) - 12 * month
+
+
+def late_day(n: Column) -> Column:
+    """The n-th late day. Its month is within one of n * MONTHS / (number of late days)."""
+    near = F.floor(n * MONTHS / F.lit(float(LATE_DAYS[0] * LATE_DAYS[1] - 1)))
+    months = F.filter(F.array(*[near + k for k in (2, 1, 0, -1, -2)]), lambda m: (m >= 0) & (_late_before(m) <= n))
+    return let(F.get(months, F.lit(0)), lambda m: F.date_add(F.add_months(F.to_date(F.lit(FIRST_DAY)), m.cast("int")), (12 + n - _late_before(m)).cast("int")))
+
+
+def late_number(day: Column) -> Column:
+    return F.dayofmonth(day) - 13 + _late_before((F.year(day) - 1900) * 12 + F.month(day) - 1)
+
+
+def _moved_day(day: Column, key: str, reverse: bool) -> Column:
+    zero = F.to_date(F.lit(FIRST_DAY))
+    return F.date_add(zero, _permuted(F.datediff(day, zero), DAYS, key + "date", reverse).cast("int"))
+
+
+def _moved_late_day(day: Column, key: str, reverse: bool) -> Column:
+    # one number of the product is no late day: what moves there moves on, and that once, as only one number moves there
+    void = LATE_DAYS[0] * LATE_DAYS[1] - 1
+    step = lambda n: _permuted(n, LATE_DAYS, key + "late", reverse)
+    return let(let(step(late_number(day)), lambda n: F.when(n == void, step(n)).otherwise(n)), late_day)
+
+
+def _date(m: Column, key: str, reverse: bool) -> Column:
+    read = lambda form: F.try_to_timestamp(m, F.lit(form)).cast("date")
     out = F.lit(None).cast("string")
-    for form, fits in reversed(formats.items()):
-        day = F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), zero)
-        number = lambda p: p["a"] * _DAYS_B + p["b"]
-        step = lambda v: F.get(F.transform(F.array(permute_pair(F.floor(v / _DAYS_B), F.pmod(v, F.lit(_DAYS_B)), _DAYS_A, _DAYS_B, key + "date", reverse)), number), F.lit(0))  # noqa: E731,B023
-        to = _again(day.cast("long"), step, lambda v: v < DAYS, 12)
-        out = F.when(fits & day.between(0, DAYS - 1), F.date_format(F.date_add(zero, to.cast("int")), form)).otherwise(out)
+    for form, fits, to in (("MM/dd/yyyy", "/", _moved_late_day), ("dd/MM/yyyy", "/", _moved_day), ("dd.MM.yyyy", ".", _moved_day), ("yyyy-MM-dd", "-", _moved_day)):
+        out = F.when(m.contains(fits) & read(form).isNotNull(), F.date_format(to(read(form), key, reverse), form)).otherwise(out)
     return out
 
 
 def _email(m: Column, key: str, reverse: bool) -> Column:
-    """All but the top-level domain."""
+    """All but the top-level domain, which begins with two letters."""
     tail = F.regexp_extract(m, r"\.[^.]*$", 0)
     head = m.substr(F.lit(1), F.length(m) - F.length(tail))
-    return F.concat(permute(head, key + "email", reverse), tail)
+    return F.when(tail.rlike(r"^\.[A-Za-z]{2}"), F.concat(permute(head, key + "email", reverse), tail))
 
 
 _OF = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "iban": _iban, "card": _card}
 
 
-def pseudonym(match: Column, key: str = KEY, reverse: bool = False) -> Column:
+def pseudonym(match: Column, key: str, reverse: bool = False) -> Column:
     """Of one match (null if it is no valid value)."""
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(PATTERNS.items()):
@@ -220,9 +253,9 @@ def pseudonym(match: Column, key: str = KEY, reverse: bool = False) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", count_col: str = "n_replaced", key: str = KEY, reverse: bool = False) -> DataFrame:
-    """The rows of `docs` with pseudonyms in their texts, and the column n_replaced. With `reverse` the
-    pseudonyms of that key turn back."""
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_replaced", reverse: bool = False) -> DataFrame:
+    """The rows of `docs` with pseudonyms in their texts, and the column n_replaced. Whoever has the key can turn them
+    back, with `reverse`: keep it out of code and logs."""
     text, found, to, out = F.col(text_col), fresh(docs, "__pii_found"), fresh(docs, "__pii_to"), docs
     some = text.rlike("[0-9@]")
     out = out.withColumn(found, F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
