@@ -1,12 +1,18 @@
 """SentencePiece encoding and decoding by a batched numpy Viterbi search.
 
 Each batch's distinct words are searched once. Words of equal length form a matrix and advance together,
-one end position at a time: the hash of every substring up to the longest piece is probed in the sorted
+one end position at a time: the hash of every substring that can end a piece is probed in the sorted
 piece keys, and maxima over the piece lengths leave a backpointer per word and position. Unigram models
 maximise the score; BPE models admit only settled neighbours (see spm.py), of which there is one.
 
+A long word advances as many segments of one length, each begun afresh some way into the one before. What a
+search finds at a position depends on the longest piece's number of positions before it, so where two segments
+agree on as many, the later one's backpointers are the word's own from there on (as they nearly always are).
+Else the word is searched by itself.
+
 Defined cases: null and empty text have no tokens; unknown characters become their bytes (or unk); a word
-with characters of tied pieces (runs of spaces) is merged step by step; other columns pass through.
+with characters of tied pieces (runs of spaces) is merged step by step; columns named as the added ones are
+replaced, other columns pass through.
 """
 
 from __future__ import annotations
@@ -24,40 +30,48 @@ from quillmill.llm import spm
 from quillmill.llm.common import chunks, fresh
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-#: Words longer than this are searched one by one, over Python lists.
-LONG = 200
+#: Cells of a matrix that are searched at a time.
+CELLS = 1_000_000
 
 
-def _key_tables(model: spm.Model) -> list[tuple[np.ndarray, np.ndarray]]:
-    """By piece length: sorted hashes and the inner ids in that order."""
+def _key_tables(model: spm.Model) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length: sorted hashes of pieces and of ends of longer pieces, the inner ids (-1 for mere ends), and whether longer
+    pieces end so."""
     if not hasattr(model, "key_tables"):
-        by: dict[int, list[tuple[int, int]]] = {}
+        by: list[dict[int, list[int]]] = [{} for _ in range(model.longest + 1)]
         for k, s in enumerate(model.strings):
             if k and model.usable[k]:
-                h = 0
-                for c in s:
-                    h = (h * int(_BASE) + ord(c) + 1) & (2**64 - 1)
-                by.setdefault(len(s), []).append((h, k))
-        model.key_tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-        for n in range(1, max(by) + 1):
-            rows = sorted(by.get(n, []))
-            model.key_tables.append((np.array([h for h, _ in rows], np.uint64), np.array([k for _, k in rows], np.int64)))
+                h, power = 0, 1
+                for n, c in enumerate(reversed(s), 1):
+                    h = (h + (ord(c) + 1) * power) & (2**64 - 1)
+                    power = power * int(_BASE) & (2**64 - 1)
+                    entry = by[n].setdefault(h, [-1, 0])
+                    if n == len(s):
+                        entry[0] = k
+                    else:
+                        entry[1] = 1
+        model.key_tables = []
+        for entries in by:
+            keys = np.array(sorted(entries), np.uint64)
+            model.key_tables.append((keys, np.array([entries[h][0] for h in keys.tolist()], np.int64), np.array([entries[h][1] for h in keys.tolist()], bool)))
     return model.key_tables
 
 
-def _probe(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
-    keys, ids = table
+def _probe(table: tuple[np.ndarray, np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner ids (-1: no piece), and whether longer pieces may end so."""
+    keys, ids, more = table
     if not len(keys):
-        return np.full(len(h), -1)
+        return np.full(len(h), -1), np.zeros(len(h), bool)
     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return np.where(keys[at] == h, ids[at], -1)
+    same = keys[at] == h
+    return np.where(same, ids[at], -1), same & more[at]
 
 
-def _search(model: spm.Model, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """codes: words x positions. The backpointers: length and inner id of the last piece at each end."""
+def _search(model: spm.Model, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """codes: words x positions. The backpointers: length and inner id of the last piece at each end; its score."""
     tables = _key_tables(model)
     n, m = codes.shape
-    back, piece = np.zeros((n, m + 1), np.int32), np.full((n, m + 1), -1, np.int64)
+    back, piece = np.zeros((n, m + 1), np.int32), np.full((n, m + 1), -1, np.int32)
     score = np.full((n, m + 1), -np.inf)
     score[:, 0] = 0
     steps = np.zeros((m + 1, n), np.uint64)
@@ -68,22 +82,61 @@ def _search(model: spm.Model, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
         for _ in range(len(tables)):
             powers.append(powers[-1] * _BASE)
         for j in range(1, m + 1):
-            for length in range(min(j, len(tables) - 1), 0, -1):
-                found = _probe(tables[length], steps[j] - steps[j - length] * powers[length])
+            live = np.arange(n)
+            for length in range(1, min(j, len(tables) - 1) + 1):
+                found, more = _probe(tables[length], steps[j][live] - steps[j - length][live] * powers[length])
                 if length == 1:
                     found = np.where(found < 0, spm.UNKNOWN, found)
                 rows = np.flatnonzero(found >= 0)
+                known, rows = found[rows], live[rows]
                 if model.kind == "bpe":
-                    rows = rows[(piece[rows, j] < 0) & ((piece[rows, j - length] >= 0) | (j == length))]
                     if j > length and len(rows):
-                        rows = rows[model.settled(piece[rows, j - length], found[rows])]
+                        fits = piece[rows, j - length] >= 0
+                        known, rows = known[fits], rows[fits]
+                        fits = model.settled(piece[rows, j - length].astype(np.int64), known)
+                        known, rows = known[fits], rows[fits]
                 else:
-                    total = score[rows, j - length] + model.scores[found[rows]]
-                    better = total > score[rows, j]
-                    rows = rows[better]
+                    total = score[rows, j - length] + model.scores[known]
+                    better = total >= score[rows, j]  # of equal scores the longer piece
+                    known, rows = known[better], rows[better]
                     score[rows, j] = total[better]
-                back[rows, j], piece[rows, j] = length, found[rows]
-    return back, piece
+                back[rows, j], piece[rows, j] = length, known
+                live = live[more]
+                if not len(live):
+                    break
+    return back, piece, score
+
+
+def _search_segments(model: spm.Model, texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    """Of each text (code points, longer than a segment) the backpointers, as of _search(); None if its segments do not
+    agree."""
+    size, w = spm.segment_size(model), model.longest
+    starts = [spm.segments(len(t), model) for t in texts]
+    grid = np.concatenate([t[s[:, None] + np.arange(size)] for t, s in zip(texts, starts)])
+    parts = [_search(model, grid[a : a + max(1, CELLS // size)]) for a in range(0, len(grid), max(1, CELLS // size))]
+    back, piece, score = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    row = 0
+    for text, s in zip(texts, starts):
+        own = slice(row, row + len(s))
+        row += len(s)
+        ends = size - np.diff(s)  # where, in each later segment, the one before it ends
+        tail, head = np.arange(size - w + 1, size + 1)[None, :], (ends[:, None] + np.arange(-w + 1, 1))
+        at = np.arange(1, len(s))[:, None]
+        same = (back[own][:-1][at - 1, tail] == back[own][at, head]) & (piece[own][at - 1, tail] == piece[own][at, head])
+        if model.kind != "bpe":
+            a, b = score[own][at - 1, tail], score[own][at, head]
+            same &= np.abs((a - a[:, -1:]) - (b - b[:, -1:])) < 1e-6
+        if not same.all():
+            yield None
+            continue
+        whole = []
+        for table in (back[own], piece[own]):
+            out = np.empty(len(text) + 1, np.int32)
+            out[: size + 1] = table[0]
+            for k in range(1, len(s)):
+                out[s[k] + ends[k - 1] + 1 : s[k] + size + 1] = table[k, ends[k - 1] + 1 :]
+            whole.append(out)
+        yield whole[0], whole[1]
 
 
 def _walk(back: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,27 +155,15 @@ def _walk(back: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.bincount(word, minlength=n), ids[order], ends[order]
 
 
-def _encode_long(model: spm.Model, word: str) -> list[int]:
-    """The same search for one long word, over Python lists."""
-    tables = _key_tables(model)
-    n, inner, scores, longest = len(word), model.inner, model.scores, len(tables) - 1
-    best, back, piece = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1)
-    for j in range(1, n + 1):
-        for length in range(min(j, longest), 0, -1):
-            k = inner.get(word[j - length : j], spm.UNKNOWN if length == 1 else -1)
-            if k < 0 or not model.usable[k]:
-                continue
-            if model.kind == "bpe":
-                if (j == length or piece[j - length] >= 0) and (j == length or model.settled(np.array([piece[j - length]]), np.array([k]))[0]):
-                    back[j], piece[j] = length, k
-                    break
-            elif best[j - length] + scores[k] > best[j]:
-                best[j], back[j], piece[j] = best[j - length] + scores[k], length, k
-    out, j = [], n
+def _path(back: np.ndarray, piece: np.ndarray) -> tuple[list[int], list[int]]:
+    """Follows one text's backpointers: inner ids and end positions."""
+    back, piece, ids, ends = back.tolist(), piece.tolist(), [], []
+    j = len(back) - 1
     while j:
-        out.append((piece[j], j))
+        ids.append(piece[j])
+        ends.append(j)
         j -= back[j]
-    return out[::-1]
+    return ids[::-1], ends[::-1]
 
 
 def encode_words(model: spm.Model, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,29 +178,33 @@ def encode_words(model: spm.Model, words: pa.Array) -> tuple[np.ndarray, np.ndar
         tied[np.searchsorted(starts, np.flatnonzero(hit), "right") - 1] = True
     counts, found = np.zeros(n, np.int64), []
     alone = tied if model.kind == "bpe" else np.zeros(n, bool)
-    alone = alone | (lengths > LONG)
     mark = np.uint32(ord(spm.SPACE))
+    long = np.flatnonzero((lengths >= spm.segment_size(model)) & ~alone)
+    paths: dict[int, tuple[list[int], list[int]]] = {}
+    texts = [np.r_[mark, codes[starts[i] : starts[i] + lengths[i]]] for i in long.tolist()]
+    for i, tables in zip(long.tolist(), _search_segments(model, texts) if texts else ()):
+        if tables:
+            paths[i] = _path(*tables)
+    alone[long] = True
     for m in np.unique(lengths[~alone]).tolist():
         rows = np.flatnonzero((lengths == m) & ~alone)
         grid = np.empty((len(rows), m + 1), np.uint32)
         grid[:, 0] = mark
         grid[:, 1:] = codes[starts[rows, None] + np.arange(m)]
-        back, piece = _search(model, grid)
+        back, piece, _ = _search(model, grid)
         own, inner, ends = _walk(back, piece)
         counts[rows] = own
         word = np.repeat(np.arange(len(rows)), own)
         found.append((rows, own, inner, grid[word, ends - 1]))
     for i in np.flatnonzero(alone).tolist():
-        text = spm.SPACE + words[i].as_py()
-        if tied[i] and model.kind == "bpe":
-            inner, end, ends = model.encode_scalar(text), 0, []
-            for k in inner:
-                end += int(model.lengths[k])
-                ends.append(end)
+        if i in paths:
+            inner, ends = paths[i]
         else:
-            inner, ends = zip(*_encode_long(model, text))
+            inner = model.encode_scalar(spm.SPACE + words[i].as_py())
+            ends = np.cumsum(model.lengths[inner]).tolist()
+        last = [codes[starts[i] + e - 2] if e > 1 else mark for e in ends]
         counts[i] = len(inner)
-        found.append((np.array([i]), np.array([len(inner)]), np.array(inner), np.array([ord(text[e - 1]) for e in ends], np.uint32)))
+        found.append((np.array([i]), np.array([len(inner)]), np.array(inner), np.array(last, np.uint32)))
     # unknown characters become several ids: count again per word
     out_counts, parts = np.zeros(n, np.int64), []
     for rows, own, inner, last in found:

@@ -45,6 +45,7 @@ class Model:
 
     def __post_init__(self) -> None:
         self.lengths = np.array([max(1, len(s)) for s in self.strings])
+        self.longest = int(self.lengths[self.usable].max())
         self._seen_keys = np.full(1 << 21, -1, np.int64)
         self._seen = np.zeros(1 << 21, bool)
 
@@ -91,11 +92,26 @@ class Model:
             # two new keys may share a slot: the last one stands in both arrays
         return out
 
-    # ---- plain merging, for ties and long runs of spaces
+    # ---- one text by itself, for ties, long runs of spaces, and long words whose segments do not agree
 
     def encode_scalar(self, text: str) -> list[int]:
-        """BPE by merging the best pair, leftmost first, with a heap; inner ids."""
-        return _merge(list(text), self.inner, self.scores)[0]
+        """Inner ids. BPE by merging the best pair, leftmost first, with a heap; unigram by a search over lists."""
+        if self.kind == "bpe":
+            return _merge(list(text), self.inner, self.scores)[0]
+        best, back, piece = [0.0], [0], [-1]
+        for j in range(1, len(text) + 1):
+            top = (-np.inf, 0, UNKNOWN)
+            for length in range(min(j, self.longest), 0, -1):
+                k = self.inner.get(text[j - length : j], UNKNOWN if length == 1 else -1)
+                if k >= 0 and best[j - length] + self.scores[k] > top[0]:
+                    top = (best[j - length] + self.scores[k], length, k)
+            for values, x in zip((best, back, piece), top):
+                values.append(x)
+        out, j = [], len(text)
+        while j:
+            out.append(piece[j])
+            j -= back[j]
+        return out[::-1]
 
     # ---- inner ids to piece ids
 
@@ -232,6 +248,17 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.r_[0, np.cumsum(lengths)], pa.chunked_array(parts).combine_chunks()
 
 
+def segment_size(model: Model) -> int:
+    """Characters of a segment: three times the overlap of two, which is some longest pieces long."""
+    return 3 * max(64, 2 * model.longest)
+
+
+def segments(n: int, model: Model) -> np.ndarray:
+    """Where the segments of a text of n characters begin; the last one ends with the text."""
+    size = segment_size(model)
+    return np.r_[np.arange(0, n - size, 2 * size // 3), n - size]
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices start, start + 1, ... of all given pieces, one after another."""
     total = int(lengths.sum())

@@ -7,8 +7,13 @@ stands, that is the one whose last piece starts first. BPE: the step that is adm
 whose last two pieces are settled neighbours (see spm.py), so counts equal those of step-by-step merging.
 Scores are summed per word in double precision.
 
+A long word is read as segments of one length that advance together, each begun afresh some way into the one
+before. Where two agree on as many positions as the longest piece has, in pieces and in what each position adds
+to count and score, the later one goes on as the word itself would, and its increments are added.
+
 Defined cases: null and empty text count 0; an unknown character counts as its bytes (as 1 without byte
-pieces); words with characters of tied pieces are merged step by step; other columns pass through.
+pieces); words with characters of tied pieces, and long words whose segments do not agree, are searched by
+themselves; columns named as the added ones are replaced, other columns pass through.
 """
 
 from __future__ import annotations
@@ -52,10 +57,11 @@ def _matches(model: spm.Model, text: str, known: np.ndarray) -> tuple[np.ndarray
     return ends[order], ids[order]
 
 
-def _count_chunk(model: spm.Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and scores of words, by one search that all words advance in together."""
-    text = _BREAK.join(spm.SPACE + w for w in words)
-    lengths = np.array([len(w) + 1 for w in words])
+def _search(model: spm.Model, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One search that all words advance in together: where each begins, and per position the score, the number of
+    pieces, and the last piece, with `len(word)` positions after its beginning."""
+    text = _BREAK.join(words)
+    lengths = np.array([len(w) for w in words])
     starts = np.cumsum(lengths + 1) - (lengths + 1)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     gap = np.zeros(len(codes), bool)
@@ -93,38 +99,84 @@ def _count_chunk(model: spm.Model, words: list[str]) -> tuple[np.ndarray, np.nda
             first[hit[np.r_[True, e[hit][1:] != e[hit][:-1]]]] = True
         e, s = e[first], s[first]
         score[e], count[e], last[e] = total[first], count[s] + w[first], k[first]
-    return count[starts + lengths], score[starts + lengths]
+    return starts, score, count, last
+
+
+def _count_chunk(model: spm.Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and scores of words."""
+    starts, score, count, _ = _search(model, words)
+    ends = starts + [len(w) for w in words]
+    return count[ends], score[ends]
+
+
+def _count_long(model: spm.Model, words: list[str]) -> list[tuple[int, float]]:
+    """Counts and scores of words that are longer than a segment."""
+    size, w = spm.segment_size(model), model.longest
+    at = [spm.segments(len(x), model) for x in words]
+    rows = [x[a : a + size] for x, s in zip(words, at) for a in s.tolist()]
+    ends = np.concatenate([np.r_[size, size - np.diff(s)] for s in at])  # where in a segment the one before it ends
+    parts = []
+    for a in range(0, len(rows), READ // size):
+        own = rows[a : a + READ // size]
+        starts, score, count, last = _search(model, own)
+        tail = starts[:, None] + np.arange(size - w + 1, size + 1)
+        head = starts[:, None] + ends[a : a + len(own), None] + np.arange(-w + 1, 1)
+        parts.append([x[i] for i in (tail, head) for x in (last, count, score)])
+    last, count, score, last0, count0, score0 = (np.concatenate(x) for x in zip(*parts))
+    same = last[:-1] == last0[1:]
+    same &= (count[:-1] - count[:-1, -1:]) == (count0[1:] - count0[1:, -1:])
+    if model.kind != "bpe":
+        same &= np.abs((score[:-1] - score[:-1, -1:]) - (score0[1:] - score0[1:, -1:])) < 1e-6
+    same, out, row = same.all(axis=1), [], 0
+    for word, s in zip(words, at):
+        k = row + len(s) - 1
+        if same[row:k].all():
+            out.append((int(count[row : k + 1, -1].sum() - count0[row + 1 : k + 1, -1].sum()), float(score[row : k + 1, -1].sum() - score0[row + 1 : k + 1, -1].sum())))
+        else:
+            out.append(_count_alone(model, word))
+        row = k + 1
+    return out
+
+
+def _count_alone(model: spm.Model, word: str) -> tuple[int, float]:
+    inner = np.array(model.encode_scalar(word))
+    n = len(inner)
+    if model.byte_ids is not None and (unknown := np.flatnonzero(inner == spm.UNKNOWN)).size:
+        at = np.cumsum(model.lengths[inner]) - 1
+        n += sum(len(word[i].encode("utf-8", "replace")) - 1 for i in at[unknown].tolist())
+    return n, float(model.scores[inner].sum())
 
 
 def count_words(model: spm.Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Counts and scores of distinct words (each with the space before it)."""
     counts, scores = np.zeros(len(words), np.int64), np.zeros(len(words))
     marks = model.tied if model.kind == "bpe" else frozenset()
-    plain, size = [], 0
+    plain, long, size = [], [], 0
 
     def flush() -> None:
         if plain:
-            counts[plain], scores[plain] = _count_chunk(model, [words[i] for i in plain])
+            counts[plain], scores[plain] = _count_chunk(model, [spm.SPACE + words[i] for i in plain])
             plain.clear()
 
     for i, w in enumerate(words):
-        if any(c in w for c in marks):
-            inner = model.encode_scalar(spm.SPACE + w)
-            at, n = 0, 0
-            for k in inner:
-                n += 1 if k or model.byte_ids is None else len((spm.SPACE + w)[at].encode("utf-8", "replace"))
-                at += int(model.lengths[k])
-            counts[i], scores[i] = n, model.scores[inner].sum()
-            continue
-        if size + len(w) > READ or _BREAK in w:
-            flush()
-            size = 0
-        plain.append(i)
-        size += len(w) + 2
-        if _BREAK in w:
-            flush()
-            size = 0
+        is_long = len(w) >= spm.segment_size(model)
+        if any(c in w for c in marks) or (is_long and _BREAK in w):
+            counts[i], scores[i] = _count_alone(model, spm.SPACE + w)
+        elif is_long:
+            long.append(i)
+        else:
+            if size + len(w) > READ or _BREAK in w:
+                flush()
+                size = 0
+            plain.append(i)
+            size += len(w) + 2
+            if _BREAK in w:
+                flush()
+                size = 0
     flush()
+    if long:
+        for i, found in zip(long, _count_long(model, [spm.SPACE + words[i] for i in long])):
+            counts[i], scores[i] = found
     return counts, scores
 
 

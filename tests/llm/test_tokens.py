@@ -56,6 +56,35 @@ def test_ids_and_counts(kind, request, words):
     assert sentencepiece_codec.decode_ids(model, offsets, ids) == [lib.decode(e) for e in expect]
 
 
+def _long_words(kind):
+    rnd = random.Random(3)
+    draw = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    size = 192
+    edges = [draw("etaoinshr", n) for n in (size - 2, size - 1, size, size + 1, 2 * size, 2 * size + 1, 1000)]
+    more = [draw("ABab01+/xyzQ", 5000), draw("日本語中文人大小上下国会年月", 3000), draw("kq\u00e9\U0001f600z", 700), "the" * 900, draw("0123456789", 2000), "x" * 300 + "\x00" + "y" * 300]
+    return [*edges, *more, *(["a" * 5000, "=" * 1000] if kind == "bpe" else [])]
+
+
+@pytest.mark.parametrize("kind", ["bpe", "unigram"])
+def test_long_words(kind, request):
+    data, lib = request.getfixturevalue(kind)
+    model = spm.parse(data)
+    words = _long_words(kind)
+    texts = [*words, "some text " + " and ".join(words[:3]) + " end"]
+    offsets, ids = sentencepiece_codec.encode_texts(model, pa.array(texts))
+    counts, scores = token_counts.count_texts(model, pa.array(texts))
+    expect = [lib.encode(t) for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == expect
+    assert counts.tolist() == [len(e) for e in expect]
+    alone = [token_counts._count_alone(model, spm.SPACE + w) for w in words]
+    assert np.allclose(scores[: len(words)], [s for _, s in alone]) and counts[: len(words)].tolist() == [n for n, _ in alone]
+    long = [np.frombuffer((spm.SPACE + w).encode("utf-32-le"), np.uint32) for w in words if len(w) >= 192]
+    agree = [t is not None for t in sentencepiece_codec._search_segments(model, long)]
+    assert np.mean(agree) > 0.7
+    if kind == "bpe":
+        assert not all(agree)  # "aaa..." never agrees, and is merged by itself
+
+
 def test_settled_pairs_agree_with_merging(bpe, words):
     model = spm.parse(bpe[0])
     for w in words[:300]:
