@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,18 +24,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame, written to the shared checkpoint folder, so that it is computed once and a lost
-    executor does not bring its lineage back. The folder is the session's spark.checkpoint.dir; only in
-    local mode, where all tasks run on this machine, a folder is made if none is set."""
-    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, a folder of this application in it; only in local mode, where all tasks
+    run on this machine, a folder is made if none is set."""
+    context, folder = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
         if not folder and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillmill-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame, written to the shared folder, so that it is computed once and a lost executor does not bring its
+    lineage back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As cut(), as a Parquet table: its size is known to the planner, while a checkpoint's estimate is that of the plan it
+    came from, which multiplies in loops of joins."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have yet."""
     have = {c.lower() for c in df.columns}

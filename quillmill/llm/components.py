@@ -2,6 +2,9 @@
 
 Each round is two aggregations and two joins over the edges; the edge table never grows, every round is
 written to the checkpoint folder, and the number of rounds is logarithmic in the longest chain.
+
+A hub with many edges would be one task of such a join. The hubs above 1/50,000 of all rows (and above HUB rows)
+are fewer than 50,000, so their minima are broadcast, and their edges stay where they are.
 """
 
 from __future__ import annotations
@@ -9,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import cut
+from quillmill.llm.common import stored
+
+#: Edges that a node may have in one task, at least; hubs that are broadcast, at most.
+HUB, HUBS = 500, 50_000
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -17,18 +23,27 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return r.n, r.x
 
 
+def _with_least(rows: DataFrame, n: int) -> DataFrame:
+    """(u, v, m) from `n` rows (u, v) at most: m is the smallest v of the row's u."""
+    least = stored(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")))
+    bar = max(HUB, n // HUBS)
+    hubs = least.where(F.col("k") > bar).select(F.col("u").alias("hub"), F.col("m").alias("hub_m"))
+    out = rows.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left")
+    near = out.where("hub is null").select("u", "v").join(least.where(F.col("k") <= bar).select("u", "m"), "u")
+    return near.unionByName(out.where("hub is not null").select("u", "v", F.col("hub_m").alias("m")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id of the edges (u, v): component is the smallest id that can be reached.
     Ids that are no component's smallest come once; the smallest ones are left out."""
-    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v"))
-        e = cut(small.where("u <> v").distinct())
+        large = _with_least(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        low = _with_least(stored(large), before[0])
+        small = low.select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v"))
+        e = stored(small.where("u <> v").distinct())
         after = _state(e)
         if after == before:
             break

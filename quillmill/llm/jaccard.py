@@ -10,18 +10,21 @@ block, and size-derived bounds keep out what cannot reach the threshold:
    of its documents, so common passages do not weigh.
 2. Documents with equal sets become one class, represented by the smallest id.
 3. Among the representatives, shingles are counted exactly. Ordered by that count, a document's rarest quarter and
-   one more must meet one of any linked document's; documents that meet there form candidate groups.
+   one more must hold one of the rarest seventh and one more of any linked document that is no larger;
+   documents that meet there form candidate groups.
 4. A group's incidence matrix is multiplied by its transpose. Small groups take one block each; a large
    group is cut into blocks by set size, only pairs of blocks whose sizes allow a link meet, and overlaps
    below ceil(3 (a + b) / 7) are discarded. Large groups first meet a few blocks of their own; what that links
    is contracted, and blocks of one component need not meet each other.
 5. Links (a spanning forest per block) give components.
 
-No list of pairs is built but for the forests. Every step is a table of the size of the input or less.
+No list of pairs is built but for the forests. Steps 1 to 3 and 5 move tables of the size of the input or less, in
+parts whose number follows the data. Step 4 is linear but for groups of many blocks that do not link: their
+pairs of blocks of about one size all meet.
 
 Defined cases: a document of one to four words has one shingle, all its words; null, empty and blank texts have
-none and link with nothing; rows that repeat an id share its component; null ids stay null; an empty table
-gives an empty result; other columns are ignored by join() and kept by drop_linked().
+none and link with nothing; rows that repeat an id share its component, whatever their texts; null ids stay null;
+an empty table gives an empty result; other columns are ignored by join() and kept by drop_linked().
 """
 
 from __future__ import annotations
@@ -41,10 +44,10 @@ from quillmill.llm.common import chunks, cut, fresh, shuffle_partitions
 from quillmill.llm.components import components
 
 WORDS = 5
-#: Documents a block of a large group holds about; groups up to this size are one block.
-BLOCK = 256
-#: Postings of text that a part of the shingles holds about.
-PART = 4_000_000
+#: Documents and shingles that a block of a large group holds about; groups up to this size are one block.
+BLOCK, BLOCK_SHINGLES = 256, 4_000_000
+#: Postings that a part of the shingles holds about, and a task at a time.
+PART, HELD = 4_000_000, 3_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,12 +98,17 @@ def _signatures(offsets: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _lists(by: np.ndarray, n: int, *columns: np.ndarray) -> list[pa.ListArray]:
-    """The columns, dealt into n lists by the sorted numbers `by`."""
-    offsets = pa.array(np.searchsorted(by, np.arange(n + 1)).astype(np.int32))
+def _lists(by: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> list[pa.ListArray]:
+    """The columns, a list per key; `by` names the key of each value, and both are sorted."""
+    offsets = pa.array(np.r_[np.searchsorted(by, keys), len(by)].astype(np.int32))
     return [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns]
 
 
+def _tasks(df: DataFrame, values: int) -> int:
+    """Partitions for so many 8-byte values: some 32 MB each."""
+    return max(shuffle_partitions(df.sparkSession), int(values) // PART)
+
+
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """A list column's values and, per value, the number of its row."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -120,34 +128,45 @@ _DEALT_NAMES = ["key", "chunk", "ids", "a", "b", "c", "s1", "s2"]
 
 
 def _deal(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Per chunk of documents: a row for each part of the shingles (a: hashes that one document has, b: its number
-    in the chunk, c: hashes that several have), and one for the chunk itself (a: set sizes, b: sizes of
+    """Per chunk of documents: a row for each part of the shingles that it has any of (a: hashes that one document has,
+    b: its number in the chunk, c: hashes that several have), and one for the chunk itself (a: set sizes, b: sizes of
     the even half, c: how many of these recur in the chunk)."""
-    seq = 0
+    seq, held, size = 0, [], 0
+
+    def dealt() -> Iterator[pa.RecordBatch]:
+        ids, sets, signs, h, r = zip(*held)
+        held.clear()
+        start = np.cumsum([0, *map(len, ids)])
+        n, chunk = int(start[-1]), _chunk_id(seq)
+        h, r = np.concatenate(h), np.concatenate([x + at for x, at in zip(r, start)])
+        found, back, times = np.unique(h, return_inverse=True, return_counts=True)
+        many = times[back] > 1
+        head = [np.concatenate(sets), np.bincount(r, minlength=n), np.bincount(r[many], minlength=n)]
+        one_list = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x).cast(t))
+        wide = [one_list(np.concatenate(x), pa.int64()) for x in zip(*signs)]
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - chunk], pa.int64()), pa.array([chunk], pa.int64()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.concat_arrays(ids)), *[one_list(x, pa.int32()) for x in head], *wide], names=_DEALT_NAMES)
+        part_of = lambda x: ((x >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+        short = lambda x: ((x >> np.uint64(1)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+        one, several = h[~many], found[times > 1]
+        order, order2 = np.argsort(part_of(one), kind="stable"), np.argsort(part_of(several), kind="stable")
+        one, r, several = one[order], r[~many][order], several[order2]
+        own = np.union1d(part_of(one), part_of(several))
+        lists = [*_lists(part_of(one), own, short(one), r.astype(np.int32)), *_lists(part_of(several), own, short(several))]
+        none = pa.nulls(len(own), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), chunk)), none, *lists, none, none], names=_DEALT_NAMES)
+
     for batch in batches:
         for b in chunks(batch, "text"):
             offsets, hashes = shingle_sets(b.column("text"))
-            chunk, n = _chunk_id(seq), b.num_rows
-            seq += 1
-            row = np.repeat(np.arange(n), np.diff(offsets))
+            row = np.repeat(np.arange(b.num_rows), np.diff(offsets))
             even = (hashes & np.uint64(1)) == 0
-            h, r = hashes[even], row[even]
-            found, back, times = np.unique(h, return_inverse=True, return_counts=True)
-            many = times[back] > 1
-            own = pa.array([chunk], pa.int64())
-            sizes = [np.diff(offsets), np.bincount(r, minlength=n), np.bincount(r[many], minlength=n)]
-            wrap = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x).cast(t))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([-1 - chunk], pa.int64()), own, wrap(b.column("id").cast(pa.int64()), pa.int64()), *[wrap(x, pa.int32()) for x in sizes], *[wrap(x, pa.int64()) for x in _signatures(offsets, hashes)]], names=_DEALT_NAMES
-            )
-            part_of = lambda x: ((x >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-            short = lambda x: ((x >> np.uint64(1)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-            one, several = h[~many], found[times > 1]
-            order, order2 = np.argsort(part_of(one), kind="stable"), np.argsort(part_of(several), kind="stable")
-            one, r, several = one[order], r[~many][order], several[order2]
-            lists = [*_lists(part_of(one), parts, short(one), r.astype(np.int32)), *_lists(part_of(several), parts, short(several))]
-            none = pa.nulls(parts, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), pa.array(np.full(parts, chunk)), none, *lists, none, none], names=_DEALT_NAMES)
+            held.append((b.column("id").cast(pa.int64()), np.diff(offsets), _signatures(offsets, hashes), hashes[even], row[even]))
+            size += len(held[-1][3]) + b.num_rows
+            if size >= HELD:
+                yield from dealt()
+                seq, size = seq + 1, 0
+    if held:
+        yield from dealt()
 
 
 def _recurring(part: pa.Table) -> pa.Table:
@@ -162,9 +181,10 @@ def _recurring(part: pa.Table) -> pa.Table:
     again = weight[back[: len(one)]] > 1
     chunk = part.column("chunk").to_numpy()
     at, n = np.unique(from_row[again].astype(np.int64) << 32 | doc[again], return_counts=True)
-    lists = _lists(at >> 32, len(chunk), n.astype(np.int32), (at & 0xFFFFFFFF).astype(np.int32))
-    none, none32 = pa.nulls(len(chunk), pa.list_(pa.int64())), pa.nulls(len(chunk), pa.list_(pa.int32()))
-    return pa.table([pa.array(np.zeros(len(chunk), np.int64)), pa.array(chunk), none, *lists, none32, none, none], names=_DEALT_NAMES)
+    own = np.unique(at >> 32)
+    lists = _lists(at >> 32, own, n.astype(np.int32), (at & 0xFFFFFFFF).astype(np.int32))
+    none, none32 = pa.nulls(len(own), pa.list_(pa.int64())), pa.nulls(len(own), pa.list_(pa.int32()))
+    return pa.table([pa.array(np.zeros(len(own), np.int64)), pa.array(chunk[own]), none, *lists, none32, none, none], names=_DEALT_NAMES)
 
 
 def _judge(chunk: pa.Table) -> pa.Table:
@@ -184,8 +204,8 @@ def _judge(chunk: pa.Table) -> pa.Table:
 def judged(rows: DataFrame) -> DataFrame:
     """(id, n, s1, s2, live) per row (id, text): set size, signature, and whether it may link at all."""
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("x")).first().x
-    parts = max(shuffle_partitions(rows.sparkSession), size // (12 * PART))  # some 12 bytes a posting
-    dealt = rows.mapInArrow(lambda batches: _deal(batches, parts), _DEALT)
+    parts = _tasks(rows, size // 12)  # some 6 bytes of text a word, of which every other posting is dealt
+    dealt = rows.mapInArrow(lambda batches: _deal(batches, parts), _DEALT).repartition(parts, "key")
     counted = dealt.groupBy("key").applyInArrow(_recurring, _DEALT)
     return counted.groupBy("chunk").applyInArrow(_judge, "id long, n long, s1 long, s2 long, live boolean")
 
@@ -210,12 +230,18 @@ def representatives(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per batch: (chunk, ids, n, shingles)."""
-    for seq, b in enumerate(batches):
-        if b.num_rows:
-            values, row = _flat(b.column("shingles"))
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x)) for x in (b.column("id"), np.bincount(row, minlength=b.num_rows).astype(np.int64), values.astype(np.int64))]
+    """Rows (chunk, ids, n, shingles) of many documents each."""
+    seq = 0
+    for b in batches:
+        total = np.cumsum(pc.list_value_length(b.column("shingles")).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + HELD, "right")))
+            part, at = b.slice(at, end - at), end
+            values, row = _flat(part.column("shingles"))
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (part.column("id").to_numpy(), np.bincount(row, minlength=part.num_rows).astype(np.int64), values.astype(np.int64))]
             yield pa.RecordBatch.from_arrays([pa.array([_chunk_id(seq)], pa.int64()), *lists], names=["chunk", "ids", "n", "shingles"])
+            seq += 1
 
 
 def _deal_counts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -224,8 +250,9 @@ def _deal_counts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.R
             found, times = np.unique(b.column("shingles")[i].values.to_numpy(zero_copy_only=False), return_counts=True)
             part = ((found.view(np.uint64) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            lists = _lists(part[order], parts, found[order], times[order].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), pa.array(np.full(parts, b.column("chunk")[i].as_py())), *lists], names=["key", "chunk", "h", "n"])
+            own = np.unique(part)
+            lists = _lists(part[order], own, found[order], times[order].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), b.column("chunk")[i].as_py())), *lists], names=["key", "chunk", "h", "n"])
 
 
 def _totals(part: pa.Table) -> pa.Table:
@@ -235,12 +262,13 @@ def _totals(part: pa.Table) -> pa.Table:
     _, back = np.unique(h, return_inverse=True)
     total = np.bincount(back, weights=n)[back].astype(np.int32) if len(h) else np.zeros(0, np.int32)
     several = total > 1
-    chunk = part.column("chunk").to_numpy()
-    return pa.table([pa.array(chunk), *_lists(row[several], len(chunk), h[several], total[several])], names=["chunk", "h", "n"])
+    own = np.unique(row[several])
+    return pa.table([pa.array(part.column("chunk").to_numpy()[own]), *_lists(row[several], own, h[several], total[several])], names=["chunk", "h", "n"])
 
 
 def _prefixes(sets: pa.Table, totals: pa.Table) -> pa.Table:
-    """Per document that may link: its rarest quarter of shingles and one more, without those it has alone."""
+    """Per document that may link: its rarest quarter of shingles and one more, without those it has alone; `low`
+    marks the rarest seventh and one more."""
     ids, _ = _flat(sets.column("ids"))
     n, _ = _flat(sets.column("n"))
     shingles, _ = _flat(sets.column("shingles"))
@@ -256,15 +284,19 @@ def _prefixes(sets: pa.Table, totals: pa.Table) -> pa.Table:
     order = np.lexsort((shingles, rare, doc))
     doc, shingles = doc[order], shingles[order]
     first = np.searchsorted(doc, np.arange(len(ids)))
-    take = (np.arange(len(doc)) - first[doc]) < (n // 4 + 1 - alone)[doc]
-    return pa.table([pa.array(ids[doc[take]], pa.int64()), pa.array(shingles[take], pa.int64())], names=["id", "h"])
-
-
-def candidate_groups(bundles: DataFrame, parts: int) -> DataFrame:
-    """(id, component) of documents that meet in a rare shingle, directly or by way of others."""
-    totals = bundles.mapInArrow(lambda batches: _deal_counts(batches, parts), "key long, chunk long, h array<long>, n array<int>").groupBy("key").applyInArrow(_totals, "chunk long, h array<long>, n array<int>")
-    rare = cut(bundles.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_prefixes, "id long, h long"))
-    hubs = rare.groupBy("h").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1").select("h", "v")
+    rank = np.arange(len(doc)) - first[doc] + alone[doc]
+    take = rank < (n // 4 + 1)[doc]
+    return pa.table([pa.array(ids[doc[take]], pa.int64()), pa.array(shingles[take], pa.int64()), pa.array((rank < (n // 7 + 1)[doc])[take])], names=["id", "h", "low"])
+
+
+def candidate_groups(bundles: DataFrame, shingles: int) -> DataFrame:
+    """(id, component) of documents that meet in a rare shingle, directly or by way of others. A linked pair's smaller
+    document has at most a seventh of its shingles alone, so a shingle in nobody's rarest seventh joins nobody."""
+    tasks = _tasks(bundles, shingles)
+    counts = bundles.mapInArrow(lambda batches: _deal_counts(batches, tasks), "key long, chunk long, h array<long>, n array<int>").repartition(tasks, "key")
+    totals = counts.groupBy("key").applyInArrow(_totals, "chunk long, h array<long>, n array<int>")
+    rare = cut(bundles.repartition(tasks, "chunk").groupBy("chunk").cogroup(totals.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(_prefixes, "id long, h long, low boolean"))
+    hubs = rare.groupBy("h").agg(F.min("id").alias("v"), F.count("*").alias("n"), F.bool_or("low").alias("low")).where("n > 1 and low").select("h", "v")
     return components(rare.join(cut(hubs), "h").select(F.col("id").alias("u"), "v"))
 
 
@@ -336,28 +368,31 @@ def _link_tile(tile: pa.Table) -> pa.Table:
     return pa.table([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def _run_tiles(tiled: DataFrame) -> DataFrame:
-    """tiled: (tile, grp, id, shingles)."""
-    return cut(tiled.groupBy("tile").applyInArrow(_link_tile, "u long, v long"))
+def _run_tiles(tiled: DataFrame, shingles: int) -> DataFrame:
+    """tiled: (tile, grp, id, shingles), with so many shingles about."""
+    tasks = _tasks(tiled, shingles)
+    return cut(tiled.repartition(tasks, "tile").groupBy("tile").applyInArrow(_link_tile, "u long, v long"))
 
 
 def links(sets: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFrame:
     """(u, v): a spanning forest, at least, of the links within the groups. sets: (id, shingles); groups: (id,
     component)."""
     member = groups.select("id", F.col("component").alias("grp")).unionByName(groups.select(F.col("component").alias("id"), F.col("component").alias("grp")).distinct())
-    sizes = cut(member.groupBy("grp").agg(F.count("*").alias("members")))
     docs = cut(sets.join(member, "id").select("id", "grp", F.size("shingles").alias("n"), "shingles"))
-    docs = docs.join(sizes, "grp")
-    tasks = 4 * shuffle_partitions(sets.sparkSession)
-    small = docs.where(F.col("members") <= block).select(F.pmod(F.xxhash64("grp"), F.lit(tasks)).alias("tile"), "grp", "id", "shingles")
-    found = _run_tiles(small)
-    if sizes.where(F.col("members") > block).limit(1).count():
-        found = found.unionByName(_large_links(docs.where(F.col("members") > block).select("id", "grp", "n", "shingles"), block))
+    sizes = docs.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
+    sizes = cut(sizes.withColumn("large", (F.col("members") > block) | (F.col("total") > BLOCK_SHINGLES)))
+    held = sizes.groupBy("large").agg(F.sum("total").alias("total")).collect()  # a row or two
+    held = {r.large: r.total for r in held}
+    docs = docs.join(sizes.select("grp", "large"), "grp")
+    tile = F.pmod(F.xxhash64("grp"), F.lit(4 * _tasks(sets, held.get(False, 0))))
+    found = _run_tiles(docs.where(~F.col("large")).select(tile.alias("tile"), "grp", "id", "shingles"), held.get(False, 0))
+    if True in held:
+        found = found.unionByName(_large_links(docs.where("large").select("id", "grp", "n", "shingles"), block))
     return found
 
 
 def _large_links(docs: DataFrame, block: int) -> DataFrame:
-    plain = cut(docs.select("id", "grp", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(4 / 3)))).cast("int").alias("cls")))
+    plain = cut(docs.select("id", "grp", "n", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(4 / 3)))).cast("int").alias("cls")))
     # first all documents meet one block of their own size class and of the next
     first = _meet(docs, _blocks(plain.withColumn("comp", F.lit(None).cast("long")), block), hubs_only=True)
     linked = plain.join(components(first).withColumnRenamed("component", "comp"), "id", "left")
@@ -367,16 +402,17 @@ def _large_links(docs: DataFrame, block: int) -> DataFrame:
 
 
 def _blocks(docs: DataFrame, block: int) -> DataFrame:
-    """docs: (id, grp, cls, comp). (id, grp, cls, pure, sub): pure is the component that the block consists of, if
+    """docs: (id, grp, n, cls, comp). (id, grp, n, cls, pure, sub): pure is the component that the block consists of, if
     it is of one; sub numbers the blocks alike."""
-    per = docs.groupBy("grp", "cls", "comp").agg(F.count("*").alias("k")).withColumn("pure", F.when(F.col("k") >= block // 2, F.col("comp")))
+    per = docs.groupBy("grp", "cls", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("n")).withColumn("pure", F.when(F.col("k") >= block // 2, F.col("comp")))
     key = [F.col("grp"), F.col("cls"), F.col("pure")]
-    held = per.groupBy(*key).agg(F.sum("k").alias("total")).withColumn("subs", F.ceil(F.col("total") / block).cast("int"))
+    full = F.greatest(F.sum("k") / block, F.sum("n") / BLOCK_SHINGLES)
+    held = per.groupBy(*key).agg(F.ceil(full).cast("int").alias("subs"))
     per = cut(per.select(F.col("grp").alias("g1"), F.col("cls").alias("k1"), F.col("comp").alias("c1"), "pure"))
     held = cut(held.select(F.col("grp").alias("g2"), F.col("cls").alias("k2"), F.col("pure").alias("c2"), "subs"))
     same = lambda i, c: (F.col("grp") == F.col(f"g{i}")) & (F.col("cls") == F.col(f"k{i}")) & F.col(c).eqNullSafe(F.col(f"c{i}"))
     out = docs.join(per, same(1, "comp")).join(held, same(2, "pure"))
-    return cut(out.select("id", "grp", "cls", "pure", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int").alias("sub")))
+    return cut(out.select("id", "grp", "n", "cls", "pure", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int").alias("sub")))
 
 
 def _meet(docs: DataFrame, blocks: DataFrame, hubs_only: bool) -> DataFrame:
@@ -391,28 +427,42 @@ def _meet(docs: DataFrame, blocks: DataFrame, hubs_only: bool) -> DataFrame:
         pairs = pairs.where((F.col("lsub") == 0) | (F.col("rsub") == 0))
     tile = F.xxhash64("grp", "lname", "rname")
     use = pairs.select("grp", tile.alias("tile"), F.explode(F.array_distinct(F.array("lname", "rname"))).alias("name"))
-    placed = blocks.select("id", "grp", name("").alias("name")).join(cut(use), ["grp", "name"]).select("id", "tile", "grp")
-    return _run_tiles(placed.join(docs.select("id", "shingles"), "id").select("tile", "grp", "id", "shingles"))
+    placed = cut(blocks.select("id", "grp", "n", name("").alias("name")).join(cut(use), ["grp", "name"]).select("id", "tile", "grp", "n"))
+    shingles = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return _run_tiles(placed.drop("n").join(docs.select("id", "shingles"), "id").select("tile", "grp", "id", "shingles"), shingles)
 
 
 # ---- the operator
 
 
+def _of_one_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v): edges between ids that repeat with different texts and the representatives of these."""
+    sign = F.struct("s1", "s2", "n")
+    several = cut(rows.where("id is not null").groupBy("id").agg(F.min(sign).alias("lo"), F.max(sign).alias("hi")).where("lo <> hi").select("id"))
+    return cut(rows.join(several, "id").join(classes, ["s1", "s2", "n"]).select(F.col("id").alias("u"), F.col("rep").alias("v")))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id (the smallest id reachable by links)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     all_ = cut(judged(rows))
-    live = all_.where(F.col("live") & F.col("id").isNotNull())
+    may = F.col("live") & F.col("id").isNotNull()
+    live = all_.where(may)
     classes = cut(live.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))
     sets = cut(representatives(rows, classes))
     bundles = cut(sets.mapInArrow(_bundle, "chunk long, ids array<long>, n array<long>, shingles array<long>"))
-    parts = max(shuffle_partitions(docs.sparkSession), (all_.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // (8 * PART))
-    groups = candidate_groups(bundles, int(parts))
-    found = components(links(sets, cut(groups), block))
+    shingles = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    same_id = _of_one_id(all_, classes)
+    found = cut(components(links(sets, cut(candidate_groups(bundles, shingles)), block).unionByName(same_id)))
     named = cut(classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component")))
-    alone = all_.where(~(F.col("live") & F.col("id").isNotNull())).select("id", "n", F.col("id").alias("component"))
+    rest = all_.where(~may)
+    if same_id.limit(1).count():
+        own = found.join(same_id.select(F.col("u").alias("id")).distinct(), "id", "left_semi")
+        rest = rest.join(own, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    else:
+        rest = rest.select("id", "n", F.col("id").alias("component"))
     joined = live.join(named, ["s1", "s2", "n"]).select("id", "n", "component")
-    return alone.unionByName(joined).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return rest.unionByName(joined).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def drop_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
