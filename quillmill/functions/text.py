@@ -8,12 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: the characters that count as white space
 SPACES = "\t\n\x0b\x0c\r                  　﻿"
-SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
+_SPACES = r"\t\n\x0B\f\r    -     　﻿"
+# printable ASCII is told apart first: most characters are
+SPACE = f"[[^!-~]&&[{_SPACES}]]"
+WORD = f"[[!-~][^{_SPACES}]]+"
 
 # fixed values: texts that a page shows in place of its content
 SCRIPT_GATES = (
@@ -25,9 +31,9 @@ SCRIPT_GATES = (
 
 # fixed values: words that are no topics
 STOPWORDS = (
-    "and are for from into that this with your week module page pages assignment assignments content course "
-    "class canvas file files source section synced extract extracted overview recap"
-).split()
+    "and", "are", "for", "from", "into", "that", "this", "with", "your", "week", "module", "page", "pages", "assignment", "assignments", "content", "course",
+    "class", "canvas", "file", "files", "source", "section", "synced", "extract", "extracted", "overview", "recap",
+)
 
 
 def let(c: Column, f: Callable[[Column], Column]) -> Column:
@@ -56,7 +62,7 @@ def collapse(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), f"{SPACE}+"), lambda w: w != ""))
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(WORD))
 
 
 def units(c: Column) -> Column:
@@ -64,11 +70,25 @@ def units(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
+def _hashed(texts: pd.Series) -> pd.Series:
+    """All texts of a batch at once: each UTF-16 unit times its power of 31, summed per text in wrapping 32 bits."""
+    coded = [t.encode("utf-16-le", "surrogatepass") for t in texts]
+    n = np.array([len(c) // 2 for c in coded], np.int64)
+    if not n.sum():
+        return pd.Series(["h0"] * len(n))
+    powers = np.full(n.max(), 31, np.uint32)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint32)
+    units16 = np.frombuffer(b"".join(coded), np.uint16).astype(np.uint32)
+    left = np.repeat(np.cumsum(n), n) - np.arange(len(units16)) - 1  # units after each one in its text
+    total, filled_ = np.zeros(len(n), np.uint32), n > 0
+    total[filled_] = np.add.reduceat(units16 * powers[left], (np.cumsum(n) - n)[filled_])
+    return pd.Series([f"h{abs(x)}" for x in total.view(np.int32).astype(np.int64).tolist()])
+
+
 def stable_hash(c: Column) -> Column:
     """h and the absolute value of a 31-based rolling hash over UTF-16 units, wrapped to 32 bits."""
-    units16 = F.regexp_extract_all(F.hex(F.encode(F.coalesce(c, F.lit("")), "UTF-16BE")), F.lit("...."), F.lit(0))
-    wrapped = F.aggregate(units16, F.lit(0).cast("long"), lambda h, x: (h * 31 + F.conv(x, 16, 10).cast("long")).bitwiseAND(0xFFFFFFFF).bitwiseXOR(0x80000000) - 0x80000000)
-    return F.concat(F.lit("h"), F.abs(wrapped).cast("string"))
+    return F.pandas_udf(_hashed, StringType())(F.coalesce(c, F.lit("")))
 
 
 def is_script_gate(c: Column) -> Column:

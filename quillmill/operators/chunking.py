@@ -1,19 +1,21 @@
 """Chunks with overlap, and heading trails.
 
-A document's blocks are an ordered array, so its chunks follow from native higher-order functions, row by
-row; nothing is shuffled. Lengths are in characters, which are UTF-16 units for texts of the basic plane.
+A document's blocks are an ordered array, so its chunks follow row by row; nothing is shuffled. Packing with overlap is a
+fold whose state is the open chunk: in Spark's own higher-order functions it took five times as long as over Arrow batches.
+Lengths are in characters, which are UTF-16 units for texts of the basic plane.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import collapse, filled, let, plain_text, stable_hash, text
+from quillmill.functions.text import SPACES, collapse, filled, let, plain_text, stable_hash, text
 
 SIZE, OVERLAP, LEAST = 2200, 250, 600
 VERSION = "phase4-v1"
-_UNIT = "struct<text:string,heading:string>"
+_CHUNKS = pa.list_(pa.struct([("chunk_text", pa.string()), ("heading_context", pa.string())]))
 
 
 def split_long(c: Column, size: int) -> Column:
@@ -35,62 +37,69 @@ def split_long(c: Column, size: int) -> Column:
     return F.filter(done, lambda p: p != "")
 
 
-def semantic_units(blocks: Column, size: int) -> Column:
-    """Array of (text, heading) from blocks (type, level, text): headings only set the trail of what follows."""
-    start = F.struct(F.array().cast(f"array<{_UNIT}>").alias("out"), F.array_repeat(F.lit(""), 6).alias("trail"))
-
-    def step(x: Column, b: Column) -> Column:
-        level = F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce(b["level"], F.lit(1)))).cast("int")
-        trail = F.transform(x["trail"], lambda t, i: F.when(i < level - 1, t).when(i == level - 1, text(b["text"])).otherwise(F.lit("")))
-        heading = F.array_join(F.filter(x["trail"], lambda t: t != ""), " > ")
-        new = F.transform(split_long(b["text"], size), lambda p: F.struct(p.alias("text"), heading.alias("heading")))
-        return (
-            F.when(text(b["text"]) == "", x).when(b["type"] == "heading", F.struct(x["out"].alias("out"), trail.alias("trail"))).otherwise(F.struct(F.concat(x["out"], new).alias("out"), x["trail"].alias("trail")))
-        )
-
-    return F.aggregate(blocks, start, step, lambda x: x["out"])
-
-
-def _length(units: Column) -> Column:
-    return F.aggregate(units, F.lit(0), lambda n, u: n + F.length(u["text"])) + 2 * F.greatest(F.size(units) - 1, F.lit(0))
-
-
-def _tail(units: Column, overlap: int) -> Column:
-    """Whole units from the end until they make up `overlap` characters."""
-    start = F.struct(F.array().cast(f"array<{_UNIT}>").alias("out"), F.lit(0).alias("n"))
-
-    def step(x: Column, u: Column) -> Column:
-        more = x["n"] + F.length(u["text"]) + F.when(F.size(x["out"]) > 0, 2).otherwise(0)
-        return F.when(x["n"] < overlap, F.struct(F.concat(F.array(u), x["out"]).alias("out"), more.alias("n"))).otherwise(x)
-
-    return F.aggregate(F.reverse(units), start, step, lambda x: x["out"])
-
-
-def pack(units: Column, size: int, overlap: int) -> Column:
-    """Array of chunks, each an array of units: a unit that does not fit starts the next chunk, after the tail
-    of the last one."""
-    start = F.struct(F.array().cast(f"array<array<{_UNIT}>>").alias("out"), F.array().cast(f"array<{_UNIT}>").alias("now"))
+def _split(text_: str, size: int) -> list[str]:
+    """split_long() of one text."""
+    rest, out = text_.strip(SPACES), []
+    while len(rest) > size:
+        at = rest.rfind(" ", 0, size + 1)
+        at = at if at >= size // 2 else size
+        out.append(rest[:at].strip(SPACES))
+        rest = rest[at:].strip(SPACES)
+    return [p for p in (*out, rest) if p]
+
+
+def _units(blocks: list[dict], size: int) -> list[tuple[str, str]]:
+    """(text, heading) of blocks: headings only set the trail of what follows."""
+    out, trail = [], [""] * 6
+    for b in blocks:
+        own = (b["text"] or "").strip(SPACES)
+        if own and b["type"] == "heading":
+            level = max(1, min(6, b["level"] or 1))
+            trail = [*trail[: level - 1], own, *[""] * (6 - level)]
+        elif own:
+            heading = " > ".join(t for t in trail if t)
+            out += [(p, heading) for p in _split(own, size)]
+    return out
+
+
+def _pack(units: list[tuple[str, str]], size: int, overlap: int) -> list[list[tuple[str, str]]]:
+    """A unit that does not fit starts the next chunk, after the whole units that make up the last `overlap` characters of
+    the chunk before it. Two units are two characters apart."""
+    out, now, length = [], [], 0
+    for u in units:
+        if now and length + 2 + len(u[0]) > size:
+            out.append(now)
+            tail, n = [], 0
+            while len(tail) < len(now) and n < overlap:
+                tail.insert(0, now[-1 - len(tail)])
+                n += len(tail[0][0]) + (2 if len(tail) > 1 else 0)
+            now, length = tail, n
+        length += len(u[0]) + (2 if now else 0)
+        now = [*now, u]
+    return [*out, now] if now else out
+
+
+def chunk_array(blocks: Column, fallback: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """A document's chunks in order, (chunk_text, heading_context) each, from its blocks (type, level, text). Documents without
+    any block but headings are cut from their `fallback` text."""
+    size = max(LEAST, size or SIZE)
+    overlap = max(0, min(size // 2, overlap or OVERLAP))
 
-    def step(x: Column, u: Column) -> Column:
-        more = F.concat(x["now"], F.array(u))
-        full = (F.size(x["now"]) > 0) & (_length(x["now"]) + F.length(u["text"]) + 2 > size)
-        return F.when(full, F.struct(F.concat(x["out"], F.array(x["now"])).alias("out"), F.concat(_tail(x["now"], overlap), F.array(u)).alias("now"))).otherwise(F.struct(x["out"].alias("out"), more.alias("now")))
+    @F.arrow_udf("array<struct<chunk_text:string,heading_context:string>>")
+    def run(own: pa.Array, texts: pa.Array) -> pa.Array:
+        out = []
+        for b, t in zip(own.to_pylist(), texts.to_pylist()):
+            packed = _pack(_units(b or [], size) or [(p, "") for p in _split(t or "", size)], size, overlap)
+            out.append([("\n\n".join(x for x, _ in c), next((h for _, h in c if h), "")) for c in packed])
+        return pa.array([[{"chunk_text": x, "heading_context": h} for x, h in c] for c in out], _CHUNKS)
 
-    return F.aggregate(units, start, step, lambda x: F.when(F.size(x["now"]) > 0, F.concat(x["out"], F.array(x["now"]))).otherwise(x["out"]))
+    return run(blocks, fallback)
 
 
 def chunks(docs: DataFrame, id_col: str, blocks: Column, fallback: Column, size: int = SIZE, overlap: int = OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per chunk: content_object_id, chunk_index, chunk_id, chunk_text, heading_context, token_estimate.
-    Documents without any block but headings are cut from their `fallback` text."""
-    size = max(LEAST, size or SIZE)
-    overlap = max(0, min(size // 2, overlap or OVERLAP))
-    from_blocks = docs.withColumn("__units", semantic_units(blocks, size))
-    plain = F.transform(split_long(fallback, size), lambda p: F.struct(p.alias("text"), F.lit("").alias("heading")))
-    packed = from_blocks.withColumn("__units", F.when(F.size("__units") > 0, F.col("__units")).otherwise(plain)).withColumn("__chunks", pack(F.col("__units"), size, overlap))
-    rows = packed.select(F.col(id_col).cast("string").alias("content_object_id"), *keep, F.posexplode("__chunks").alias("chunk_index", "__c"))
-    body = F.array_join(F.transform("__c", lambda u: u["text"]), "\n\n")
-    heading = F.coalesce(F.get(F.filter(F.transform("__c", lambda u: u["heading"]), lambda h: h != ""), F.lit(0)), F.lit(""))
-    rows = rows.withColumn("chunk_text", body).withColumn("heading_context", heading).drop("__c")
+    """One row per chunk: content_object_id, chunk_index, chunk_id, chunk_text, heading_context, token_estimate."""
+    own = docs.select(F.col(id_col).cast("string").alias("content_object_id"), *keep, F.posexplode(chunk_array(blocks, fallback, size, overlap)).alias("chunk_index", "__c"))
+    rows = own.select("content_object_id", *keep, "chunk_index", "__c.chunk_text", "__c.heading_context")
     number = F.lpad(F.col("chunk_index").cast("string"), 4, "0")
     return rows.withColumn("chunk_id", F.concat_ws(":", F.lit("chunk"), "content_object_id", number, stable_hash(F.concat_ws("|", "heading_context", "chunk_text")))).withColumn(
         "token_estimate", F.greatest(F.lit(1), F.ceil(F.length("chunk_text") / 4)).cast("int")

@@ -218,9 +218,11 @@ def url_parts_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "documents")
-    plain = text.plain_text(F.col("text"))
-    return d.select("doc_id", text.word_count(plain).alias("words"), F.length(plain).alias("chars"), F.size(text.paragraphs(F.col("text"))).alias("paragraphs"), F.greatest(F.lit(1), F.ceil(F.length(plain) / 4)).cast("int").alias("tokens"))
+    def metrics(plain: Column) -> Column:
+        blocks = F.size(F.filter(F.split(plain, r"\n{2,}"), lambda p: p.rlike(text.WORD)))
+        return F.struct(text.word_count(plain).alias("words"), F.length(plain).alias("chars"), blocks.alias("paragraphs"), F.greatest(F.lit(1), F.ceil(F.length(plain) / 4)).cast("int").alias("tokens"))
+
+    return _table(spark, sf_dir, "documents").select("doc_id", text.let(text.plain_text(F.col("text")), metrics).alias("m")).select("doc_id", "m.*")
 
 
 def stable_hash_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +290,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).groupBy("content_object_id").agg(F.count("*").alias("chunks"), F.max(F.length("chunk_text")).alias("longest"))
+    """Counted where the chunks are, row by row."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", chunking.chunk_array(chunking.text_blocks(F.col("text")), F.col("text")).alias("c"))
+    return d.select(F.col("doc_id").cast("string").alias("content_object_id"), F.size("c").cast("long").alias("chunks"), F.array_max(F.transform("c", lambda c: F.length(c["chunk_text"]))).alias("longest")).where("chunks > 0")
 
 
 def heading_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
