@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
 Rows are dealt into blocks of bounded size by a hash of their id. In its block every vector gets, per tree, a
-string of 64 sign bits of random projections; each tree is the sorted array of these strings. A query
-descends every tree to the longest prefixes it shares, then ascends in all trees at once, one bit at a
-time, until the ranges under its prefixes hold enough candidates; these are scored exactly, and the best
-of all blocks are merged. Prefixes tell angles only, and a long vector at a moderate angle can have a larger inner product:
-where lengths differ, the longest entries of a block are all scored, and the forest holds the others. The query set meets every block, in chunks: each (block, chunk) is a group of its own.
+string of sign bits of random projections; each tree is the sorted array of these strings. A query finds
+the longest prefixes it shares in all trees, then ascends in all of them at once, bit by bit, until
+the ranges under its prefixes hold enough visits. An entry that is visited in many trees lies at a small angle: the share
+of trees gives the chance that one bit agrees, and so the angle; its cosine times the entry's length estimates the
+inner product. The entries of the highest estimates are scored exactly, and with them the longest of all if lengths differ, as
+estimates of wide angles are coarse. The best of all blocks are merged. The query set meets every block, in chunks: each
+(block, chunk) is a group of its own.
 
 Equal vectors of a block are one entry of its trees that lists its smallest ids, as many as can be among the
 nearest, so a vector that a third of all rows share fills no range and costs one entry a block.
@@ -13,7 +15,7 @@ nearest, so a vector that a third of all rows share fills no range and costs one
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; rows
 with a null id neither; only vectors of one length compare; rows that repeat id and vector count once, and rows
 that repeat an id are never neighbours of each other; ties go to the smaller id; an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,61 +27,46 @@ from pyspark.sql import functions as F
 
 
 #: Rows a block holds about; queries a chunk holds about.
-BLOCK, CHUNK = 8192, 4096
-TREES = 48
-#: A query's candidates in a block: this share of its entries, and this number at least.
-SHARE, LEAST = 0.45, 400
-#: Of the entries that are longer than the shortest by more than EVEN, this share of a block's is always scored.
-LONGEST, EVEN = 0.45, 0.02
-_BITS = 64
+BLOCK, CHUNK = 8192, 8192
+#: Trees, and how many visits to a block's entries a query makes in all of them, as a multiple of their number.
+TREES, VISITS = 128, 8
+#: What a query scores of a block: this share of its entries, and this number at least; and this share of the entries, the
+#: longest, for those that are longer than the shortest by more than EVEN.
+SHARE, LEAST, LONGEST, EVEN = 0.15, 800, 0.05, 0.02
+_BITS = 32
 
 
 def _hashes(vectors: np.ndarray, trees: int, seed: int) -> np.ndarray:
-    """trees x rows: 64 sign bits each."""
+    """trees x rows: 32 sign bits each."""
     planes = np.random.default_rng(seed).standard_normal((vectors.shape[1], trees * _BITS)).astype(np.float32)
     unit = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
-    out = np.empty((trees, len(vectors)), np.uint64)
+    out = np.empty((trees, len(vectors)), np.uint32)
     for t in range(trees):
         bits = unit @ planes[:, t * _BITS : (t + 1) * _BITS] > 0
-        out[t] = np.packbits(bits, axis=1).view(">u8")[:, 0]
+        out[t] = np.packbits(bits, axis=1).view(">u4")[:, 0]
     return out
 
 
-def _ranges(tree: np.ndarray, query: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the sorted strings lie that share the query's first `depth` bits."""
-    low = np.uint64((1 << (_BITS - depth)) - 1)
-    return np.searchsorted(tree, query & ~low, "left"), np.searchsorted(tree, query | low, "right")
+def _ranges(forest: np.ndarray, queries: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """trees x queries: where the sorted strings lie that share the query's first `depth` bits."""
+    low = ((np.uint64(1) << (_BITS - depth).astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+    first, last = queries & ~low, queries | low
+    return np.array([np.searchsorted(t, q, "left") for t, q in zip(forest, first)]), np.array([np.searchsorted(t, q, "right") for t, q in zip(forest, last)])
 
 
 def _depths(forest: np.ndarray, queries: np.ndarray, want: int) -> np.ndarray:
-    """Per query the longest prefix under which the trees together hold `want` entries, found from the
-    longest matches upwards in all trees at once."""
-    depth = np.zeros(queries.shape[1], np.int64)
-    open_ = np.arange(queries.shape[1])
-    top = min(_BITS, int(np.log2(max(2, forest.shape[1]))) + 6)
-    for d in range(top, 0, -1):
-        if not len(open_):
-            break
-        held = np.zeros(len(open_), np.int64)
-        for tree, q in zip(forest, queries):
-            a, b = _ranges(tree, q[open_], d)
-            held += b - a
-        enough = held >= want
-        depth[open_[enough]] = d
-        open_ = open_[~enough]
-    return depth
-
-
-def _longest(vectors: np.ndarray) -> np.ndarray:
-    """Which entries are scored for their length alone; none if all are of one length."""
-    v = vectors / np.abs(vectors).max()
-    norm = np.linalg.norm(v, axis=1)
-    out = np.zeros(len(v), bool)
-    out[np.argsort(-norm, kind="stable")[: int(LONGEST * len(v))]] = True
-    return out & (norm > norm.min() * (1 + EVEN))
-
-
-def search_block(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q_vectors: np.ndarray, k: int, trees: int = TREES, share: float = SHARE, least: int = LEAST, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per query the longest prefix under which the trees together hold `want` visits. Shorter prefixes hold more, so the
+    ascent is found by halving."""
+    lo, hi = np.zeros(queries.shape[1], np.int64), np.full(queries.shape[1], _BITS)
+    while (lo < hi).any():
+        at = (lo + hi + 1) // 2
+        a, b = _ranges(forest, queries, at)
+        enough = (b - a).sum(axis=0) >= want
+        lo, hi = np.where(enough, at, lo), np.where(enough, hi, at - 1)
+    return lo
+
+
+def search_block(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q_vectors: np.ndarray, k: int, trees: int = TREES, visits: float = VISITS, share: float = SHARE, least: int = LEAST, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, score) of the k best of a block for each query, its own id left out."""
     order = np.lexsort((ids,))
     ids, vectors = ids[order], vectors[order].astype(np.float64) + 0.0
@@ -88,39 +75,27 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q_vect
     by_entry = np.argsort(entry, kind="stable")  # ids of an entry stay in order
     starts = np.searchsorted(entry[by_entry], np.arange(len(first) + 1))
     entries, n = vectors[first], len(first)
-    long = _longest(entries)
-    others = np.flatnonzero(~long)
-    m = len(others)
-    want = min(m, max(least, int(share * m), 2 * (k + 1)))
+    want = min(n, max(least, int(share * n), 2 * (k + 1)))
     q_vectors = q_vectors.astype(np.float64) + 0.0
-    strings = _hashes(entries[others], trees, seed)
+    scale = np.abs(entries).max()
+    length = np.linalg.norm(entries / scale, axis=1)
+    longest = np.argsort(-length, kind="stable")[: int(LONGEST * n)]
+    longest = longest[length[longest] > length.min() * (1 + EVEN)]
+    strings = _hashes(entries, trees, seed)
     sort = np.argsort(strings, axis=1, kind="stable")
-    forest = np.take_along_axis(strings, sort, axis=1)
     queries = _hashes(q_vectors, trees, seed)
-    depth = _depths(forest, queries, want)
+    forest = np.take_along_axis(strings, sort, axis=1)
+    depth = _depths(forest, queries, int(visits * n))
+    lo, hi = _ranges(forest, queries, depth)
+    share_of = np.arange(trees + 1) / trees
+    cosine = {d: np.cos(np.pi * (1 - np.maximum(share_of, 0.5 / trees) ** (1 / max(d, 1)))) for d in np.unique(depth).tolist()}
     out_q, out_id, out_s = [], [], []
-    lo, hi = np.zeros((trees, len(q_ids)), np.int64), np.full((trees, len(q_ids)), m)
-    for d in np.unique(depth[depth > 0]).tolist():
-        rows = np.flatnonzero(depth == d)
-        for t in range(trees):
-            lo[t, rows], hi[t, rows] = _ranges(forest[t], queries[t, rows], d)
-    for i in range(len(q_ids)):
-        d, seen = int(depth[i]), np.zeros(m, bool)
-        while True:  # trees overlap: go on up until the distinct entries are enough
-            for t in range(trees):
-                seen[sort[t, lo[t, i] : hi[t, i]]] = True
-            if d == 0 or np.count_nonzero(seen) >= want:
-                break
-            d -= 1
-            for t in range(trees):
-                if d:
-                    a, b = _ranges(forest[t], queries[t, i : i + 1], d)
-                    lo[t, i], hi[t, i] = a[0], b[0]
-                else:
-                    lo[t, i], hi[t, i] = 0, m
-        chosen = long.copy()
-        chosen[others[seen]] = True
-        found = np.flatnonzero(chosen)
+    for i, (d, a, b) in enumerate(zip(depth.tolist(), lo.T.tolist(), hi.T.tolist())):
+        found = np.arange(n)
+        if want < n:
+            seen = np.bincount(np.concatenate([tree[x:y] for tree, x, y in zip(sort, a, b)]), minlength=n)
+            found = np.argpartition(-cosine[d][seen] * length, want - 1)[:want]
+            found = np.union1d(found, longest) if len(longest) else found
         score = entries[found] @ q_vectors[i]
         if len(found) > k + 1:  # all entries that may hold one of the best k ids, ties included
             keep = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]
