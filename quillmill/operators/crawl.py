@@ -1,15 +1,11 @@
-"""Frontier scan over crawled pages and their link table: hop by hop, nothing visited twice."""
+"""Frontier scan over crawled pages and their link table: hop by hop, in order of discovery, nothing visited twice."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_PAGES = 250
-#: After so many hops what was seen is put together anew, as each hop adds partitions.
-FOLD = 10
 
 
 def seeds(courses: DataFrame) -> DataFrame:
@@ -21,22 +17,19 @@ def seeds(courses: DataFrame) -> DataFrame:
 
 
 def scan(start: DataFrame, links: DataFrame, limit: int = MAX_PAGES) -> DataFrame:
-    """(url, hop): pages reached from start (url) by links (src, dst), the nearest `limit`, however many
-    hops away. Each hop joins only the frontier; what was seen is an anti join, and lineage is cut per hop."""
+    """(url, hop, pos): the first `limit` pages that are discovered from start (url, seq) by links (src, dst, ord), first come,
+    first served, however many hops away. Each hop reads the link table once, against the pages of the last one; what is
+    kept at a time is at most `limit` rows, so it is collected as the next hop's literal frame."""
     spark = start.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmill-"))
-    seen = start.select("url").distinct().withColumn("hop", F.lit(0)).checkpoint()
-    frontier, total = seen, seen.count()
-    hop = 0
-    while total < limit:
-        hop += 1
-        found = links.join(frontier.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).where("url is not null").distinct()
-        frontier = found.join(seen.select("url"), "url", "left_anti").withColumn("hop", F.lit(hop)).checkpoint()
-        n = frontier.count()
-        if not n:
-            break
-        seen, total = seen.unionByName(frontier), total + n
-        if hop % FOLD == 0:
-            seen = seen.coalesce(spark.sparkContext.defaultParallelism).checkpoint()
-    return seen.orderBy("hop", "url").limit(limit)
+    schema = "url string, hop int, pos int"
+    first = start.select("url", "seq" if "seq" in start.columns else F.lit(0).alias("seq")).where("url is not null").groupBy("url").agg(F.min("seq").alias("seq"))
+    rows = [(r.url, 0, i + 1) for i, r in enumerate(first.orderBy("seq", "url").limit(limit).collect())]
+    seen, frontier = list(rows), rows
+    while frontier and len(seen) < limit:
+        at = F.broadcast(spark.createDataFrame(frontier, schema).select(F.col("url").alias("src"), "pos"))
+        known = F.broadcast(spark.createDataFrame(seen, schema).select(F.col("url").alias("dst")))
+        found = links.join(at, "src").where("dst is not null").join(known, "dst", "left_anti").groupBy("dst").agg(F.min(F.struct("pos", "ord")).alias("by"))
+        new = found.orderBy("by", "dst").limit(limit - len(seen)).collect()
+        frontier = [(r.dst, frontier[0][1] + 1, len(seen) + i + 1) for i, r in enumerate(new)]
+        seen += frontier
+    return spark.createDataFrame(seen, schema)

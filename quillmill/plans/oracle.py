@@ -81,6 +81,10 @@ acted AS (
 done AS (
   SELECT *, CASE WHEN action = 'skipped' THEN last WHEN has_text THEN 'notion_enriched' WHEN kind = 'file_artifact' THEN 'artifact_pending' WHEN known THEN 'notion_updated' ELSE 'notion_created' END AS status FROM acted)"""
 
+_LINKS = r"""WITH raw AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+') AS origin, url, regexp_extract_all(html, '<a href="[^"]+">[^<]*</a>') AS a FROM pages),
+one AS (SELECT page_id, origin, url, generate_subscripts(a, 1) - 1 AS ord, unnest(a) AS a FROM raw),
+cut AS (SELECT *, regexp_extract(a, 'href="([^"]+)"', 1) AS href, regexp_extract(a, '>([^<]*)<', 1) AS label FROM one)"""
+
 SQL = {
     "weekly_tasks_by_course": f"WITH {_TASKS} SELECT course_id, course_name, count(*) AS due_count, count(*) FILTER (WHERE {_URGENT}) AS urgent_count, min(due) AS first_due FROM due GROUP BY course_id, course_name",
     "urgent_tasks": f"WITH {_TASKS} SELECT content_object_id, course_id, due FROM due WHERE {_URGENT}",
@@ -129,7 +133,7 @@ SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(t, '{_WS}+'), lambda x
   CAST(len(list_filter(regexp_split_to_array(t, '\n{{2,}}'), lambda p: trim(p, ' ' || chr(10)) <> '')) AS INTEGER) AS paragraphs, CAST(greatest(1, ceil(length(t) / 4.0)) AS INTEGER) AS tokens FROM plain""",
     "stable_hash_docs": """SELECT doc_id, 'h' || CAST(abs(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(text, ''), lambda c: CAST(unicode(c) AS BIGINT))),
   lambda h, c: (((h * 31 + c) + 2147483648) & 4294967295) - 2147483648)) AS VARCHAR) AS hash FROM documents""",
-    "js_gate_filter": f"""WITH shown AS (SELECT source, lower({_collapse("CASE WHEN doc_id % 10 = 0 THEN 'You need to  enable JavaScript to run this app. ' || substr(text, 1, 200) ELSE text END")}) AS t FROM documents)
+    "js_gate_filter": f"""WITH shown AS (SELECT source, lower({_collapse("CASE WHEN doc_id % 2 = 0 THEN 'You need to  enable JavaScript to run this app. ' || text ELSE text END")}) AS t FROM documents)
 SELECT source, count(*) AS n FROM shown WHERE contains(t, 'you need to enable javascript to run this app') AND len(string_split(t, ' ')) <= 40 GROUP BY source""",
     "doc_content_dedupe": """SELECT CAST(min(doc_id) AS VARCHAR) AS id, lang AS content_type, arg_min(source, struct_pack(l := -length(source), d := doc_id)) AS course_name, arg_max(source, doc_id) AS content_hash, count(*) - 1 AS merged FROM documents GROUP BY lang, text""",
     "merge_longest_wins": "SELECT p_brand AS course_id, arg_min(p_name, struct_pack(l := -length(p_name), d := p_partkey)) AS course_name, arg_min(p_type, p_partkey) AS term FROM part GROUP BY p_brand",
@@ -140,11 +144,23 @@ SELECT 'url:https://school.example.com:' || (page_id % 3) || ':' || canonical_ur
   SELECT source AS course_key, unnest(string_split({_collapse(f"regexp_replace(lower(t || ' ' || {_collapse('t')}), '[^a-z0-9' || substr('{_WS}', 2), ' ', 'g')")}, ' ')) AS token FROM (SELECT source, {_TITLE} AS t FROM documents)),
 counted AS (SELECT course_key, token, count(*) AS score FROM words WHERE length(token) >= 4 AND token NOT IN ('from', 'into', 'that', 'this', 'with', 'your', 'week', 'module', 'page', 'pages', 'assignment', 'assignments', 'content', 'course', 'class', 'canvas', 'file', 'files', 'source', 'section', 'synced', 'extract', 'extracted', 'overview', 'recap') GROUP BY ALL)
 SELECT course_key, CAST(row_number() OVER (PARTITION BY course_key ORDER BY score DESC, token) AS INTEGER) AS rank, token, score FROM counted QUALIFY rank <= 10""",
+    "token_topk_of_content": f"""WITH words AS (
+  SELECT source AS course_key, unnest(string_split({_collapse(f"regexp_replace(lower(t || ' ' || s), '[^a-z0-9' || substr('{_WS}', 2), ' ', 'g')")}, ' ')) AS token FROM (SELECT source, {_TITLE} AS t, substr({_collapse('text')}, 1, 240) AS s FROM documents)),
+counted AS (SELECT course_key, token, count(*) AS score FROM words WHERE length(token) >= 4 AND token NOT IN ('from', 'into', 'that', 'this', 'with', 'your', 'week', 'module', 'page', 'pages', 'assignment', 'assignments', 'content', 'course', 'class', 'canvas', 'file', 'files', 'source', 'section', 'synced', 'extract', 'extracted', 'overview', 'recap') GROUP BY ALL)
+SELECT course_key, CAST(row_number() OVER (PARTITION BY course_key ORDER BY score DESC, token) AS INTEGER) AS rank, token, score FROM counted QUALIFY rank <= 10""",
+    "frontier_scan": "SELECT CAST(i AS VARCHAR) AS url, CAST(floor(log2(i + 1)) AS INTEGER) AS hop, CAST(i + 1 AS INTEGER) AS pos FROM (SELECT unnest(range(least(250, 2 * count(*) + 1))) AS i FROM documents)",
+    "page_links": _LINKS + " SELECT page_id, CAST(ord AS INTEGER) AS ord, href, CASE WHEN starts_with(href, '/') THEN origin || href ELSE href END AS url, label, '' AS rel FROM cut",
+    "page_link_kinds": _LINKS + r""" SELECT page_id, CAST(0 AS BIGINT) AS hosted, count(*) FILTER (WHERE doc AND outside) AS external, count(*) FILTER (WHERE doc AND NOT outside) AS document, count(*) FILTER (WHERE NOT doc) AS ignored, CAST(0 AS BIGINT) AS no_url
+FROM (SELECT page_id, regexp_matches(lower(href), '\.(pdf|docx?|html?|pptx?|xlsx?|txt|zip)$') AS doc, starts_with(href, 'http') AND NOT starts_with(href, origin) AS outside FROM cut) GROUP BY page_id""",
+    "page_file_names": _LINKS + r""", named AS (SELECT *, regexp_extract(href, '([^/]*)/*$', 1) AS seg FROM cut)
+SELECT page_id, CAST(ord AS INTEGER) AS ord, href, label, CASE WHEN regexp_matches(label, '\.[A-Za-z0-9]{1,8}$') THEN label WHEN seg = '' OR regexp_matches(seg, '^[0-9]+$') THEN label ELSE seg END AS file_name, NULL AS folder_hint FROM named""",
+    "dashboard_courses": _LINKS + """ SELECT page_id, origin, CAST(page_id % 25 AS VARCHAR) AS course_id, arg_min(label, struct_pack(l := -length(label), o := ord)) AS course_name, origin || '/courses/' || page_id % 25 AS course_url, NULL AS term
+FROM cut WHERE label <> '' AND lower(label) NOT IN ('grades', 'modules', 'files', 'pages', 'assignments', 'home', 'syllabus', 'announcements', 'more options') GROUP BY page_id, origin""",
     "phrase_topk_by_course": """WITH seg AS (
   SELECT p_brand AS course_key, p_partkey, unnest([p_name, p_type, p_name]) AS text, unnest([3, 3, 1]) AS w, unnest([0, 1, 2]) AS pos FROM part),
 scored AS (SELECT course_key, lower(text) AS normalized, CAST(sum(w) AS BIGINT) AS score, arg_min(text, struct_pack(l := -length(text), p := p_partkey, q := pos)) AS phrase FROM seg WHERE length(text) >= 4 GROUP BY course_key, lower(text))
 SELECT course_key, CAST(row_number() OVER (PARTITION BY course_key ORDER BY score DESC, phrase, normalized) AS INTEGER) AS rank, phrase, normalized, score FROM scored QUALIFY rank <= 6""",
-    "heading_trail": """WITH c AS (SELECT conv_id, turn, substr(text, 1, 12) AS label, CASE WHEN role = 'user' THEN 2 WHEN role = 'system' THEN 1 WHEN turn % 3 = 0 THEN 3 END AS level FROM conversations),
+    "heading_trail": """WITH c AS (SELECT conv_id, turn, text AS label, CASE WHEN role = 'user' THEN 2 WHEN role = 'system' THEN 1 WHEN turn % 3 = 0 THEN 3 END AS level FROM conversations),
 p AS (SELECT *, max(CASE WHEN level = 1 THEN turn END) OVER w AS t1, max(CASE WHEN level = 2 THEN turn END) OVER w AS t2, max(CASE WHEN level = 3 THEN turn END) OVER w AS t3 FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT p.conv_id, p.turn, concat_ws(' > ', nullif(a.label, ''), nullif(b.label, ''), nullif(d.label, '')) AS trail FROM p
 LEFT JOIN c a ON a.conv_id = p.conv_id AND a.turn = p.t1

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import dates, text, urls
 from quillmill.operators import chunking, crawl, dedupe, digests, extraction, inventory, links, planning, runs, sync
+from quillmill.plans import workspace
 from quillmill.plans.oracle import SQL
 from quillmill.sources import html
 from quillmill.sources import page_facts as facts_of
@@ -231,7 +232,7 @@ def stable_hash_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def js_gate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents")
-    shown = F.when(F.pmod("doc_id", F.lit(10)) == 0, F.concat(F.lit("You need to  enable JavaScript to run this app. "), F.substring("text", 1, 200))).otherwise(F.col("text"))
+    shown = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.concat(F.lit("You need to  enable JavaScript to run this app. "), "text")).otherwise(F.col("text"))
     return d.select("doc_id", "source", shown.alias("text")).where(text.is_script_gate(F.col("text"))).groupBy("source").agg(F.count("*").alias("n"))
 
 
@@ -296,7 +297,7 @@ def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heading_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 12).alias("label"), F.when(F.col("role") == "user", 2).when(F.col("role") == "system", 1).when(F.pmod("turn", F.lit(3)) == 0, 3).alias("level"))
+    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("label"), F.when(F.col("role") == "user", 2).when(F.col("role") == "system", 1).when(F.pmod("turn", F.lit(3)) == 0, 3).alias("level"))
     return chunking.heading_trail(c, "conv_id", "turn", "level", "label", 3).select("conv_id", "turn", "trail")
 
 
@@ -344,11 +345,10 @@ def course_recap_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frontier_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages of a crawl: each links to two others."""
+    """Documents as pages of a crawl: each links to two new ones and back to an earlier one."""
     d = _table(spark, sf_dir, "documents").select("doc_id")
-    n = F.lit(d.count())
-    to = F.array(*[F.pmod(F.col("doc_id") * a + b, n).cast("string") for a, b in ((3, 1), (5, 2))])
-    link = d.select(F.col("doc_id").cast("string").alias("src"), F.explode(to).alias("dst"))
+    to = F.array(F.col("doc_id") * 2 + 1, F.col("doc_id") * 2 + 2, F.floor(F.col("doc_id") / 3))
+    link = d.select(F.col("doc_id").cast("string").alias("src"), F.posexplode(F.transform(to, lambda x: x.cast("string"))).alias("ord", "dst"))
     return crawl.scan(d.where("doc_id = 0").select(F.col("doc_id").cast("string").alias("url")), link)
 
 
@@ -432,8 +432,8 @@ _QUERIES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES} | workspace.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL
+    return SQL | workspace.SQL
