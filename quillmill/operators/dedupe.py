@@ -1,8 +1,9 @@
 """Identity keys and dedupe with field-by-field merging.
 
 Every input carries `seq`, the order of discovery. dedupe_content() and merge_courses() are plain
-aggregations. dedupe_documents() follows aliases in order, which is no aggregation: rows are grouped by course
-scope and folded there; primary_key_dedupe() is the aggregation for inputs whose file ids agree with their URLs.
+aggregations. dedupe_documents() follows aliases in order, which is no aggregation: rows that share a file id, or an URL with
+such a row, are folded per course scope, while all others have one name and are grouped by it. primary_key_dedupe() is the
+aggregation for inputs whose file ids agree with their URLs.
 """
 
 from __future__ import annotations
@@ -102,9 +103,12 @@ def dedupe_documents(docs: DataFrame) -> DataFrame:
     """One row per document under any of its names (URL, file id, file name) within its course scope. The id
     (`key`) is that of the group's first row, even where a hosted row later replaces the URL."""
     keyed = document_identity(docs)
-    light = keyed.select("seq", "scope", "key", "file_id", "canonical_url")
+    linked = keyed.where("file_id is not null").select("scope", "canonical_url").where(filled(F.col("canonical_url"))).distinct().withColumn("__linked", F.lit(True))
+    named = keyed.join(linked, ["scope", "canonical_url"], "left")
+    several = F.col("file_id").isNotNull() | F.coalesce("__linked", F.lit(False))
+    light = named.where(several).select("seq", "scope", "key", "file_id", "canonical_url")
     groups = light.groupBy("scope").applyInPandas(_fold_scope, "seq long, group string")
-    merged = keyed.join(groups, "seq").drop("key").withColumnRenamed("group", "key")
+    merged = named.join(groups, "seq", "left").withColumn("key", F.coalesce("group", "key")).drop("group", "__linked")
     return _merge(merged)
 
 

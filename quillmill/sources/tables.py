@@ -29,13 +29,33 @@ def read(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def overwrite(df: DataFrame, root: str) -> None:
-    spark = df.sparkSession
-    old, name = current(spark, root), f"v{uuid.uuid4().hex}"
+    """Writes a version, then its pointer under the next free number: two writers never share one, and the later pointer wins."""
+    spark, name = df.sparkSession, f"v{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{name}")
     fs, p = _fs(spark, f"{root}/_current")
-    number = 1 + (max((int(s.getPath().getName().split("-")[0]) for s in fs.listStatus(p)), default=0) if old else 0)
+    number = 1 + max((int(s.getPath().getName().split("-")[0]) for s in fs.listStatus(p)), default=0) if fs.exists(p) else 1
+    while True:
+        _, claim = _fs(spark, f"{root}/_claims/{number:012d}")
+        try:
+            fs.create(claim, False).close()  # fails if another writer has the number
+            break
+        except Exception as e:
+            if "already exists" not in str(e) and "FileAlreadyExists" not in str(e):
+                raise
+            number += 1
     _, pointer = _fs(spark, f"{root}/_current/{number:012d}-{name}")
-    fs.create(pointer).close()
+    fs.create(pointer, False).close()
+
+
+def vacuum(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Removes all versions but the newest `keep`; how many. Readers of an older one must have ended."""
+    fs, p = _fs(spark, f"{root}/_current")
+    old = sorted(s.getPath().getName() for s in fs.listStatus(p))[: -max(1, keep)] if fs.exists(p) else []
+    for pointer in old:
+        number, name = pointer.split("-", 1)
+        for path, whole in ((f"_current/{pointer}", False), (name, True), (f"_claims/{number}", False)):
+            fs.delete(_fs(spark, f"{root}/{path}")[1], whole)
+    return len(old)
 
 
 def upsert(rows: DataFrame, root: str, key: str) -> None:
