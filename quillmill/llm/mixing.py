@@ -30,7 +30,8 @@ def word_count(text: Column) -> Column:
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, source_size, target, rate) from rows (source, size). One row per source is all that the
-    windows below see; it is summed on the map side first."""
+    windows below see; it is summed on the map side first. They run in one task, which sorts and spills: sources are meant
+    to be collections or crawls, up to some 10^7, rather than single pages."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -54,10 +55,10 @@ def draw(id_: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_.cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> tuple[DataFrame, dict[str, str]]:
-    """`docs` with added columns, and their names by role: size, source_size, target, copies."""
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with added columns, and their names by role: size (by default the text's words), source_size, target, copies."""
     names = {x: fresh(docs, f"__mix_{x}") for x in ("size", "source_size", "target", "copies", "source", "rate")}
-    sized = docs.withColumn(names["size"], word_count(F.col(text_col)))
+    sized = docs.withColumn(names["size"], word_count(F.col(text_col)) if size is None else size)
     per = cut(targets(sized.select(F.col(source_col).cast("string").alias("source"), F.col(names["size"]).alias("size")), weights, most))
     per = per.select(*[F.col(x).alias(names[x]) for x in ("source", "source_size", "target", "rate")])
     out = sized.join(broadcast_if_small(per), F.col(source_col).cast("string").eqNullSafe(F.col(names["source"])))
@@ -72,11 +73,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return out.where(F.col(names["copies"]) > 0).withColumn(names["copies"], F.explode(F.array_repeat(F.lit(1), F.col(names["copies"])))).select(*docs.columns)
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken (words, repeats counted)."""
-    out, names = plan(docs, id_col=id_col, **options)
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """One row per document: id, size, source_size, target, taken (words, repeats counted). Texts are read once."""
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("words")))
+    out, names = plan(rows, id_col="id", size=F.col("words"), **options)
     return out.select(
-        F.col(id_col), F.col(names["size"]).alias("size"), F.col(names["source_size"]).alias("source_size"), F.col(names["target"]).alias("target"),
+        F.col("id").alias(id_col), F.col(names["size"]).alias("size"), F.col(names["source_size"]).alias("source_size"), F.col(names["target"]).alias("target"),
         (F.col(names["size"]) * F.col(names["copies"])).cast("long").alias("taken"),
     )
 

@@ -5,14 +5,19 @@ t_1 < t_2 < ...; a document's severity is the expected grade, the sum of these p
 are words (lower-cased letter runs) and their first four and five letters; x is log2(1 + distinct tokens
 with the feature), so long texts do not drown what is rare in them.
 
-The fit uses at most `max_rows` labelled rows (those of smallest hash; the parameter is the documented
-bound). Feature statistics of these rows are counted on Spark; features are kept whose likelihood ratio
-G2 between graded and clean texts exceeds 2 ln(candidates), at most `max_features`. Only the kept counts of
-the bounded sample reach the driver, where the weights are found; prediction covers every row.
+The fit uses at most `max_rows` labelled ids (those of smallest hash; the parameter is the documented
+bound), with one text each. Feature statistics of these rows are counted on Spark; features are kept that three rows
+have at least and whose likelihood ratio G2 between graded and clean texts exceeds 2 ln(candidates). Only the kept counts
+of the bounded sample reach the driver, where the weights are found; prediction covers every row.
+
+Labels that are mere flags hold no severity. With `split_flag` flagged texts are graded by how many tokens with kept features
+they hold: the second grade is then a proxy for how much of a text is toxic, not a judgement by people, and only the
+probability of the first grade rests on labels.
 
 Defined cases: null and empty text have no features (their severity is that of the thresholds); labels with a
-null id or grade are ignored, of several grades for an id the highest counts; without labels or without
-two grades the severity is 0; an empty table gives an empty result; other columns pass through.
+null id or grade are ignored, of several grades for an id the highest counts, of several texts the last in order;
+without labels or without two grades the severity is 0; an empty table gives an empty result; columns named as the added
+ones are replaced, other columns pass through.
 """
 
 from __future__ import annotations
@@ -25,12 +30,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import chunks, fresh
+from quillmill.llm.common import chunks, cut, fresh
 
-MAX_ROWS, MAX_FEATURES, MIN_ROWS = 20_000, 4_000, 3
+MAX_ROWS, MIN_ROWS = 20_000, 3
 #: Bytes of text that are worked on at a time.
 SLICE = 3_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -98,14 +103,15 @@ def _counts(texts: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_col: str, max_rows: int) -> DataFrame:
-    """(id, text, grade) of at most max_rows labelled rows (and of rows that repeat their ids)."""
+    """(id, text, grade) of at most max_rows labelled ids, one text each."""
     grades = labels.where(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(grade_col).cast("int")).alias("grade"))
     chosen = grades.orderBy(F.xxhash64("id", F.lit("toxicity")), "id").limit(max_rows)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    return found.groupBy("id", "grade").agg(F.max("text").alias("text"))
 
 
-def select_features(rows: DataFrame, max_features: int = MAX_FEATURES) -> np.ndarray:
-    """Sorted hashes of the features that tell graded texts from clean ones."""
+def select_features(rows: DataFrame) -> np.ndarray:
+    """Sorted hashes of the features that tell graded texts from clean ones. They are as many as a bounded sample can hold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,10 +134,9 @@ def select_features(rows: DataFrame, max_features: int = MAX_FEATURES) -> np.nda
         cells.append(F.when(seen < of, (F.lit(of) - seen) * F.log((F.lit(of) - seen) / (F.lit(of) - share))).otherwise(0.0))
     g2 = 2 * (cells[0] + cells[1] + cells[2] + cells[3])
     stats = stats.select("feature", g2.alias("g2"))
-    seen = Observation()
-    best = stats.observe(seen, F.count("*").alias("candidates")).orderBy(F.desc("g2"), "feature").limit(max_features).collect()
-    least = 2 * np.log(max(1, seen.get["candidates"]))
-    return np.sort(np.array([r.feature for r in best if r.g2 > least], np.int64).view(np.uint64))
+    stats = cut(stats)
+    least = 2 * float(np.log(max(1, stats.count())))
+    return np.sort(np.array([r.feature for r in stats.where(F.col("g2") > least).collect()], np.int64).view(np.uint64))
 
 
 def _fit(n: int, row: np.ndarray, feature: np.ndarray, x: np.ndarray, grade: np.ndarray, features: np.ndarray, ridge: float = 0.3, rounds: int = 500) -> Model:
@@ -159,12 +164,12 @@ def _fit(n: int, row: np.ndarray, feature: np.ndarray, x: np.ndarray, grade: np.
     return Model(features, params[:k], params[k] + np.r_[0, np.cumsum(np.exp(params[k + 1 :]))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, split_flag: bool = False) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", max_rows: int = MAX_ROWS, split_flag: bool = False) -> Model:
     """Fits the model to integer grades 0, 1, 2, ... With `split_flag` the grade column is a mere flag and
     severity is taken from the texts: a flagged text is of grade 2 if it holds more tokens with kept features than
     the median flagged text, else of grade 1."""
-    rows = sample(docs, labels, id_col, text_col, grade_col, max_rows)
-    features = select_features(rows, max_features)
+    rows = cut(sample(docs, labels, id_col, text_col, grade_col, max_rows))  # read three times
+    features = select_features(rows)
     if not len(features):
         return Model()
 

@@ -233,7 +233,11 @@ def test_jaccard_keeps_one_of_each_component(spark, rows):
     assert jaccard.join(_docs(spark, [])).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [components.FEW, 0])
+def test_components(spark, monkeypatch, few):
+    """With few = 0, hubs are told apart, as in large tables."""
+    monkeypatch.setattr(components, "FEW", few)
+    monkeypatch.setattr(components, "HUBS", 20)
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rnd.randrange(60), 100 + rnd.randrange(60)) for _ in range(45)] + [(7, 7)]
     root = {}
@@ -272,6 +276,16 @@ def test_toxicity_on_held_out_labels(spark):
     held = [r for r in got if 800 <= r.doc_id < 1200]
     assert np.mean([(r.p_toxic >= 0.5) == (r.doc_id % 6 == 0) for r in held]) > 0.98
     assert all(0 <= r.severity <= 2 for r in got) and all(r.p_toxic < 0.5 for r in got if r.doc_id >= 5000)
+    for r in got[:40] + got[-3:]:  # plain scoring, token by token
+        linear = 0.0
+        for f, w in zip(model.features.tolist(), model.weights.tolist()):
+            tokens = {t for t in WORD.findall((dict(docs)[r.doc_id] or "").lower()) if f in toxicity._features([t])[1].tolist()}
+            linear += w * np.log2(1 + len(tokens))
+        reach = 1 / (1 + np.exp(-(linear - model.thresholds)))
+        assert abs(r.severity - reach.sum()) < 1e-9 and abs(r.p_toxic - reach[0]) < 1e-9
+    long = spark.createDataFrame([(1, ("vilething " * 3 + "word ") * 50_000, "x", "y")], "doc_id long, text string, severity string, __toxic_text string")
+    told = toxicity.predict(long, model).first()
+    assert told.p_toxic > 0 and told["__toxic_text"] == "y"
     again = toxicity.fit(d, lab.where("doc_id is null or doc_id < 800 or doc_id > 5000"), split_flag=True)
     assert np.array_equal(model.weights, again.weights)
     none = toxicity.fit(d, lab.limit(0))
@@ -279,6 +293,29 @@ def test_toxicity_on_held_out_labels(spark):
     assert toxicity.predict(d.limit(0), model).count() == 0
 
 
+def test_ordinal_fit_is_a_maximum(spark):
+    """No step from the fitted parameters raises the penalised likelihood, reckoned row by row."""
+    rnd = np.random.default_rng(3)
+    n, k = 60, 4
+    x = rnd.integers(0, 3, (n, k)).astype(float)
+    grade = np.clip((x[:, 0] + x[:, 1] + rnd.normal(0, 0.8, n)).round().astype(int), 0, 2)
+    row, feature = np.nonzero(x)
+    model = toxicity._fit(n, row, feature, x[row, feature], grade, np.arange(k, dtype=np.uint64), rounds=4000)
+
+    def loss(w, t):
+        total = 0.15 * sum(v * v for v in w)
+        for i in range(n):
+            reach = [1.0, *[1 / (1 + np.exp(-(sum(w * x[i]) - c))) for c in t], 0.0]
+            total -= np.log(reach[grade[i]] - reach[grade[i] + 1])
+        return total
+
+    best = loss(model.weights, model.thresholds)
+    assert model.thresholds[0] < model.thresholds[1]
+    for _ in range(60):
+        dw, dt = rnd.normal(0, 0.05, k), rnd.normal(0, 0.05, 2)
+        assert loss(model.weights + dw, model.thresholds + dt) > best - 1e-3
+
+
 def test_ann(spark):
     rnd = np.random.default_rng(4)
     x = rnd.standard_normal((900, 16)).astype(np.float32)
