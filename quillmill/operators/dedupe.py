@@ -108,8 +108,8 @@ def dedupe_documents(docs: DataFrame) -> DataFrame:
     several = F.col("file_id").isNotNull() | F.coalesce("__linked", F.lit(False))
     light = named.where(several).select("seq", "scope", "key", "file_id", "canonical_url")
     groups = light.groupBy("scope").applyInPandas(_fold_scope, "seq long, group string")
-    merged = named.join(groups, "seq", "left").withColumn("key", F.coalesce("group", "key")).drop("group", "__linked")
-    return _merge(merged)
+    folded = named.where(several).join(groups, "seq").drop("key", "__linked").withColumnRenamed("group", "key")
+    return _merge(folded.unionByName(named.where(~several).drop("__linked")))
 
 
 def _merge(keyed: DataFrame) -> DataFrame:
