@@ -2,8 +2,9 @@
 
 A dataset is a folder:
 
-* payload/shard=K/part-*: the ids of the shard's documents, one after the other, as little-endian unsigned 32-bit
-  integers and nothing else. Documents are in ascending order of id, over all shards; each ends with the end id.
+* payload/part-K-*: shard K: the ids of its documents, one after the other, as little-endian unsigned integers of two bytes where
+  all ids fit, else of four. Documents are in ascending order of id, over all shards; each ends with the end id. A
+  footer lists the documents' ids and sizes, so that a shard can be read by itself.
 * shards: a row per shard (Parquet): its file, its documents and ids, and the ids in all shards before it.
 * index: a row per bucket of some thousand keys (Parquet): a minimal perfect hash function of the keys, and one entry of
   fixed width per slot: the key's fingerprint, shard, offset in it, number of ids, and how many documents have its id.
@@ -20,7 +21,7 @@ Defined cases: a null text is empty and has the end id alone; a null id sorts be
 as null; documents that repeat an id lie next to each other, in an order that depends on their texts' hashes, and a lookup
 of the id gives all of them; an id that is asked for twice is answered once, one that is not there not at all;
 one very long text makes one long range; an empty table makes an empty dataset; other columns are ignored. Ids are integers,
-token ids below 2^24.
+the end id is below 2^31.
 """
 
 from __future__ import annotations
@@ -42,12 +43,13 @@ from pyspark.sql import functions as F
 from quillmill.llm import perfect_hash
 from quillmill.llm.common import broadcast_if_small, chunks, shuffle_partitions, stored
 
-#: Bytes a shard has about, and bytes it has at least where shards are made smaller to keep all tasks busy.
+#: Bytes of text a shard has about, and bytes it has at least where shards are made smaller to keep all tasks busy.
 SHARD_BYTES, LEAST_BYTES = 256_000_000, 1_000_000
 #: Keys a bucket of the index has about; sampled keys per shard when shards are cut; ids that are read at once, about.
 BUCKET, A_SHARD, READ = 4096, 64, 1_000_000
 #: Distinct stretches of text whose ids a task remembers.
 REMEMBERED = 300_000
+_MARK = b"tokens1"
 _ENTRY = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n", "<u4"), ("documents", "<u8")])
 _ORDER = ("id", "tie", "salt")
 
@@ -150,23 +152,6 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, tie, salt, n, ids): the order of documents is that of (id, tie, salt), for good as it is stored."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("salt"), text.alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
-        for batch in batches:
-            for b in chunks(batch):
-                ids, n = encoder.encode(b.column("text"), end_id)
-                ends = np.r_[0, np.cumsum(n) * 4].astype(np.int32)
-                raw = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(ids.tobytes())])
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), raw], names=[*_ORDER, "n", "ids"])
-
-    return stored(rows.mapInArrow(run, "id long, tie long, salt long, n long, ids binary"))
-
-
 # -- Shards
 
 
@@ -198,43 +183,89 @@ def _shard(bounds: np.ndarray) -> Column:
     return shard(F.col("id").isNotNull(), F.coalesce("id", F.lit(0)), F.col("tie"), F.col("salt"))
 
 
-def _order() -> list[Column]:
-    return [F.col("id").asc_nulls_first(), F.col("tie"), F.col("salt")]
+def _width(tokenizer: str, end_id: int) -> int:
+    """Bytes an id takes: two where all ids fit. The last byte of the end id separates documents as Spark's writer writes
+    them, so it is an ASCII one."""
+    ids = max(_encoder(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
+    width = 2 if ids <= 1 << 16 and end_id < 1 << 15 else 4
+    if not 0 <= end_id < 1 << (8 * width - 1):
+        raise ValueError("an end id is not negative and below 2^31")
+    return width
+
+
+def _footer(given: list[np.ndarray], ids: list[np.ndarray], n: list[np.ndarray], last: bytes) -> bytes:
+    """What ends a shard's file: whether each document has an id, the ids, and the numbers of token ids; then how many documents
+    there are, and a mark."""
+    columns = [np.concatenate(x) for x in (given, ids, n)]
+    return b"".join(c.astype(t).tobytes() for c, t in zip(columns, ("u1", "<i8", "<u8"))) + np.array([len(columns[0])], "<u8").tobytes() + _MARK + last
+
+
+def _read_footer(file: str, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    with _open(file) as f:
+        f.seek(length - 16)
+        tail = f.read(16)
+        if tail[8:15] != _MARK:
+            raise OSError(f"{file} is not complete")
+        count = int(np.frombuffer(tail, "<u8", 1)[0])
+        f.seek(length - 16 - 17 * count)
+        raw = f.read(17 * count)
+    return np.frombuffer(raw, "u1", count).astype(bool), np.frombuffer(raw, "<i8", count, count), np.frombuffer(raw, "<u8", count, 9 * count).astype(np.int64)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, bucket: int = BUCKET) -> None:
     """Writes the dataset of `docs` to the folder `path`, which all machines share and which is not there yet.
     `tokenizer`: a file of the tokenizers library, at the same place on all machines."""
-    if not 0 <= end_id < 1 << 24:
-        raise ValueError("token ids are below 2^24")
-    spark = docs.sparkSession
-    rows = _encoded(docs, tokenizer, end_id, id_col, text_col)
-    total = 4 * rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    spark, width = docs.sparkSession, _width(tokenizer, end_id)
+    text, last = F.coalesce(F.col(text_col), F.lit("")), end_id.to_bytes(width, "little")[-1:]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("salt"), text.alias("text"))
+    sized = rows.withColumn("n", (F.octet_length("text") + 1).cast("long"))
+    total = sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     shards = max(1, -(-total // shard_bytes), min(shuffle_partitions(spark), total // min(LEAST_BYTES, shard_bytes)))
-    placed = rows.withColumn("shard", _shard(_bounds(rows, shards, total // 4)))
-    # All ids are below 2^24, so each document's last byte is zero: it is written as the separator of rows.
-    body = F.expr("substring(ids, 1, octet_length(ids) - 1)").cast("string")
-    payload = placed.repartition(shards, "shard").sortWithinPartitions("shard", *_order())
-    payload.select("shard", body.alias("value")).write.partitionBy("shard").option("lineSep", "\0").option("compression", "none").text(f"{path}/payload")
-    by_shard = Window.partitionBy("shard").orderBy(*_order()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    same, same_so_far = Window.partitionBy("shard", "id"), Window.partitionBy("shard", "id").orderBy("tie", "salt")
-    places = stored(placed.select(*_ORDER, "n", "shard").select(
-        "id", "shard", "n", (F.sum("n").over(by_shard) - F.col("n")).alias("offset"), (F.row_number().over(same_so_far) - 1).cast("long").alias("nth"), F.count("*").over(same).alias("documents")
-    ))
-    _write_shards(spark, places, path)
-    _write_index(spark, places, path, bucket)
-
-
-def _write_shards(spark: SparkSession, places: DataFrame, path: str) -> None:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard's documents in order, then its footer, each without its last byte."""
+        encoder, held = _encoder(tokenizer), ([], [], [])
+        for batch in batches:
+            for b in chunks(batch):
+                ids, n = encoder.encode(b.column("text"), end_id)
+                raw, ends = memoryview(ids.astype(f"<u{width}").tobytes()), (np.cumsum(n) * width).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([bytes(raw[e - k : e - 1]) for e, k in zip(ends, (n * width).tolist())], pa.binary())], names=["value"])
+                id_ = b.column("id")
+                for to, x in zip(held, (id_.is_valid().to_numpy(zero_copy_only=False), id_.fill_null(0).to_numpy(), n)):
+                    to.append(x)
+        if held[0]:
+            yield pa.RecordBatch.from_arrays([pa.array([_footer(*held, last)[:-1]], pa.binary())], names=["value"])
+
+    # partition k is shard k, and part-k its file
+    placed = rows.repartitionById(shards, _shard(_bounds(sized, shards, total))).sortWithinPartitions(F.col("id").asc_nulls_first(), "tie", "salt")
+    payload = placed.select("id", "text").mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    payload.write.option("lineSep", last.decode("ascii")).option("compression", "none").text(f"{path}/payload")
+    places = _write_shards(spark, path, width)
+    _write_index(spark, places, path, bucket, width)
+
+
+def _write_shards(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """Writes the table of shards, from the files' footers. Returns (id, shard, n, offset, nth, documents) of every document;
+    nth and documents count those of the same id in the shard."""
+    files = spark.read.format("binaryFile").load(f"{path}/payload").where("length > 0").select(F.col("path").alias("file"), "length").withColumn("shard", F.regexp_extract("file", r"/part-(\d+)-[^/]*$", 1).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, length, shard in zip(*(c.to_pylist() for c in b.columns)):
+                given, ids, n = _read_footer(file, length)
+                if length != width * n.sum() + 17 * len(n) + 16:
+                    raise OSError(f"{file} is not as long as its documents")
+                new = np.r_[True, (ids[1:] != ids[:-1]) | (given[1:] != given[:-1])]
+                first, run_ = np.flatnonzero(new), np.cumsum(new) - 1
+                columns = [pa.array(ids, mask=~given), pa.array(np.full(len(n), shard, np.int32)), pa.array(n), pa.array(np.cumsum(n) - n), pa.array(np.arange(len(n)) - first[run_]), pa.array(np.diff(np.r_[first, len(n)])[run_])]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "shard", "n", "offset", "nth", "documents"])
+
+    listed = stored(files)
+    places = stored(listed.repartition(max(1, min(shuffle_partitions(spark), listed.count())), "shard").mapInArrow(run, "id long, shard int, n long, offset long, nth long, documents long"))
     sizes = places.groupBy("shard").agg(F.count("*").alias("documents"), F.sum("n").alias("ids"))
-    if places.limit(1).count():
-        files = spark.read.format("binaryFile").load(f"{path}/payload").where("length > 0").select("shard", F.col("path").alias("file"), "length")
-    else:
-        files = spark.createDataFrame([], "shard int, file string, length long")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
-    out = files.join(sizes, "shard").withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
-    whole = F.when(F.col("length") == 4 * F.col("ids"), F.col("file")).otherwise(F.raise_error(F.concat(F.lit("not as long as its documents: "), "file")))
-    out.select("shard", whole.alias("file"), "documents", "ids", "start").write.parquet(f"{path}/shards")
+    listed.join(sizes, "shard").select("shard", "file", "documents", "ids", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start")).write.parquet(f"{path}/shards")
+    return places
 
 
 # -- Index
@@ -258,7 +289,7 @@ def _over_all_shards(places: DataFrame) -> DataFrame:
     return out.select("id", "shard", "n", "offset", (F.col("nth") + F.coalesce("before", F.lit(0))).alias("nth"), F.coalesce("total", "documents").alias("documents"))
 
 
-def _write_index(spark: SparkSession, places: DataFrame, path: str, bucket: int) -> None:
+def _write_index(spark: SparkSession, places: DataFrame, path: str, bucket: int, width: int) -> None:
     buckets = max(1, -(-places.count() // bucket))
     entries = _over_all_shards(places).select(*_hashes(F.col("id"), F.col("nth")), "shard", "offset", "n", "documents").withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
 
@@ -272,7 +303,7 @@ def _write_index(spark: SparkSession, places: DataFrame, path: str, bucket: int)
         return pa.table([rows.column("bucket").slice(0, 1), pa.array([function], pa.binary()), pa.array([out.tobytes()], pa.binary())], names=["bucket", "function", "entries"])
 
     entries.groupBy("bucket").applyInArrow(build, "bucket int, function binary, entries binary").write.parquet(f"{path}/index")
-    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/meta")
+    spark.createDataFrame([(buckets, width)], "buckets int, width int").coalesce(1).write.parquet(f"{path}/meta")
 
 
 def _probe(keys: DataFrame, path: str) -> DataFrame:
@@ -336,6 +367,7 @@ def lookup(keys: DataFrame, path: str, id_col: str = "doc_id", read: int = READ)
     placed = found.join(broadcast_if_small(shards), "shard").select("id", "file", "offset", "n", (F.col("start") + F.col("offset")).alias("start"))
     dealt = placed.repartition(shuffle_partitions(spark), "file", F.floor(F.col("offset") / (8 * read))).sortWithinPartitions("file", "offset")
     schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+    width = spark.read.parquet(f"{path}/meta").first().width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, name = None, None
@@ -350,10 +382,11 @@ def lookup(keys: DataFrame, path: str, id_col: str = "doc_id", read: int = READ)
                 for s in _spans(offset[run_], n[run_], read):
                     rows = run_[s]
                     base, end = int(offset[rows[0]]), int(offset[rows[-1]] + n[rows[-1]])
-                    opened.seek(4 * base)
-                    raw = opened.read(4 * (end - base))
-                    if len(raw) != 4 * (end - base):
+                    opened.seek(width * base)
+                    raw = opened.read(width * (end - base))
+                    if len(raw) != width * (end - base):
                         raise OSError(f"{file} ends within a document")
+                    raw = np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes()
                     ids = pa.array([raw[4 * (int(o) - base) : 4 * (int(o + k) - base)] for o, k in zip(offset[rows], n[rows])], pa.binary())
                     yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows)) for c in ("id", "start", "n")), ids], schema=schema)
 
