@@ -39,13 +39,15 @@ def split_long(c: Column, size: int) -> Column:
 
 def _split(text_: str, size: int) -> list[str]:
     """split_long() of one text."""
-    rest, out = text_.strip(SPACES), []
-    while len(rest) > size:
-        at = rest.rfind(" ", 0, size + 1)
-        at = at if at >= size // 2 else size
-        out.append(rest[:at].strip(SPACES))
-        rest = rest[at:].strip(SPACES)
-    return [p for p in (*out, rest) if p]
+    all_, out, at = text_.strip(SPACES), [], 0
+    while len(all_) - at > size:
+        cut = all_.rfind(" ", at, at + size + 1) - at
+        cut = cut if cut >= size // 2 else size
+        out.append(all_[at : at + cut].strip(SPACES))
+        at += cut
+        while all_[at] in SPACES:  # the text ends with something else
+            at += 1
+    return [p for p in (*out, all_[at:]) if p]
 
 
 def _units(blocks: list[dict], size: int) -> list[tuple[str, str]]:
@@ -99,7 +101,11 @@ def chunk_array(blocks: Column, fallback: Column, size: int = SIZE, overlap: int
 def chunks(docs: DataFrame, id_col: str, blocks: Column, fallback: Column, size: int = SIZE, overlap: int = OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per chunk: content_object_id, chunk_index, chunk_id, chunk_text, heading_context, token_estimate."""
     own = docs.select(F.col(id_col).cast("string").alias("content_object_id"), *keep, F.posexplode(chunk_array(blocks, fallback, size, overlap)).alias("chunk_index", "__c"))
-    rows = own.select("content_object_id", *keep, "chunk_index", "__c.chunk_text", "__c.heading_context")
+    return numbered(own.select("content_object_id", *keep, "chunk_index", "__c.chunk_text", "__c.heading_context"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds chunk_id and token_estimate to rows (content_object_id, chunk_index, chunk_text, heading_context)."""
     number = F.lpad(F.col("chunk_index").cast("string"), 4, "0")
     return rows.withColumn("chunk_id", F.concat_ws(":", F.lit("chunk"), "content_object_id", number, stable_hash(F.concat_ws("|", "heading_context", "chunk_text")))).withColumn(
         "token_estimate", F.greatest(F.lit(1), F.ceil(F.length("chunk_text") / 4)).cast("int")

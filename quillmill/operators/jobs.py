@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quillmill.functions import urls
 from quillmill.functions.text import text, text_or
 
+# fixed values: why a job ends without a text
 LOST = "Source record no longer participates in extraction."
+NO_TEXT = "No extractable text found."
 
 
 def waiting(queue: DataFrame, limit: int | None = None) -> DataFrame:
@@ -30,12 +32,13 @@ def started(queue: DataFrame) -> DataFrame:
 
 def finished(jobs: DataFrame, records: DataFrame, results: DataFrame) -> DataFrame:
     """Every job with its outcome and reason. records: (content_object_id, supported, unsupported_reason); results:
-    (content_object_id, extracted_text, error), of jobs that were run. A job whose record is gone is unsupported, and one
-    error fails one job."""
+    (content_object_id, extracted_text, error), of jobs that were run (null text: not run). A job whose record is gone is unsupported, one
+    error fails one job, and so does a text that is empty or blank."""
     r = records.select("content_object_id", F.col("supported").alias("__ok"), F.col("unsupported_reason").alias("__why"), F.lit(True).alias("__here"))
     x = results.select("content_object_id", F.col("error").alias("__error"), F.col("extracted_text").alias("__text"))
     out = jobs.join(r, "content_object_id", "left").join(x, "content_object_id", "left")
-    here, error = F.coalesce("__here", F.lit(False)), text_or("__error")
+    here = F.coalesce("__here", F.lit(False))
+    error = F.coalesce(text_or("__error"), F.when(F.col("__text").isNotNull() & (text("__text") == ""), NO_TEXT))
     status = F.when(~here | ~F.coalesce("__ok", F.lit(False)), "unsupported").when(error.isNotNull(), "failed").when(F.col("__text").isNull(), "queued").otherwise("completed")
     reason = F.when(~here, F.lit(LOST)).when(~F.coalesce("__ok", F.lit(False)), F.coalesce("__why", F.lit(""))).otherwise(F.coalesce(error, F.lit("")))
     return out.withColumn("status", status).withColumn("reason", reason).drop("__ok", "__why", "__here", "__error", "__text")

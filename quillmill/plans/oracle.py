@@ -6,15 +6,15 @@ _TASKS = """tasks AS (
 due AS (SELECT * FROM tasks WHERE due BETWEEN TIMESTAMP '1995-07-10 00:00:00' AND TIMESTAMP '1995-07-16 23:59:59.999')"""
 _URGENT = "due <= TIMESTAMP '1995-07-14 00:00:00'"
 _TITLE = r"substr(string_split(text, chr(10))[1], 1, 60)"
-_WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
 def _events(start: str, end: str) -> str:
     return f"SELECT event_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM events WHERE ts BETWEEN TIMESTAMP '{start}' AND TIMESTAMP '{end} 23:59:59.999' GROUP BY event_type"
 
 
-def _collapse(c: str) -> str:
-    return f"trim(regexp_replace({c}, '{_WS}+', ' ', 'g'), ' ')"
+def collapsed(c: str) -> str:
+    return f"trim(regexp_replace({c}, '{WS}+', ' ', 'g'), ' ')"
 
 
 _FILES = """files AS (
@@ -96,7 +96,7 @@ SQL = {
     "content_overview": "SELECT 'workspace' AS grain, NULL AS course_key, count(*) AS items, count(DISTINCT source) AS courses FROM documents UNION ALL SELECT 'course', source, count(*), 1 FROM documents GROUP BY source",
     "content_bullets": f"""
 SELECT course_key, n, CASE WHEN snip <> '' AND snip <> title THEN line || ' - ' || snip ELSE line END AS bullet FROM (
-  SELECT source AS course_key, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS n, {_TITLE} AS title, {_TITLE} || ' (' || upper(lang[1]) || lang[2:] || ')' AS line, substr({_collapse('text')}, 1, 240) AS snip FROM documents)
+  SELECT source AS course_key, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS n, {_TITLE} AS title, {_TITLE} || ' (' || upper(lang[1]) || lang[2:] || ')' AS line, substr({collapsed('text')}, 1, 240) AS snip FROM documents)
 WHERE n <= 8""",
     "content_overview_rollup": "SELECT source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (source, lang)",
     "inventory_union": f"WITH {_INVENTORY} SELECT content_type, content_path_type, extraction_status, supported_extraction, count(*) AS n FROM inventory GROUP BY ALL",
@@ -128,12 +128,12 @@ named AS (SELECT *, CASE WHEN regexp_matches(seg, '^[0-9]+$') THEN '' ELSE seg E
 ext AS (SELECT *, lower(regexp_extract(file_name, '\.([A-Za-z0-9]{1,8})$', 1)) AS extension FROM named)
 SELECT page_id, host, path, file_name, extension, CASE WHEN extension IN ('html', 'htm', 'txt') THEN 'text' WHEN extension = 'pdf' THEN 'pdf' ELSE 'other' END AS category,
   extension IN ('pdf', 'doc', 'docx', 'html', 'htm', 'ppt', 'pptx', 'xls', 'xlsx', 'txt', 'zip') AS is_document, 'unsupported' AS page_mode FROM ext""",
-    "text_metrics": rf"""WITH plain AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^{_WS}+|{_WS}+$', '', 'g') AS t FROM documents)
-SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(t, '{_WS}+'), lambda x: x <> '')) AS INTEGER) AS words, CAST(length(t) AS INTEGER) AS chars,
+    "text_metrics": rf"""WITH plain AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^{WS}+|{WS}+$', '', 'g') AS t FROM documents)
+SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(t, '{WS}+'), lambda x: x <> '')) AS INTEGER) AS words, CAST(length(t) AS INTEGER) AS chars,
   CAST(len(list_filter(regexp_split_to_array(t, '\n{{2,}}'), lambda p: trim(p, ' ' || chr(10)) <> '')) AS INTEGER) AS paragraphs, CAST(greatest(1, ceil(length(t) / 4.0)) AS INTEGER) AS tokens FROM plain""",
     "stable_hash_docs": """SELECT doc_id, 'h' || CAST(abs(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(text, ''), lambda c: CAST(unicode(c) AS BIGINT))),
   lambda h, c: (((h * 31 + c) + 2147483648) & 4294967295) - 2147483648)) AS VARCHAR) AS hash FROM documents""",
-    "js_gate_filter": f"""WITH shown AS (SELECT source, lower({_collapse("CASE WHEN doc_id % 2 = 0 THEN 'You need to  enable JavaScript to run this app. ' || text ELSE text END")}) AS t FROM documents)
+    "js_gate_filter": f"""WITH shown AS (SELECT source, lower({collapsed("CASE WHEN doc_id % 2 = 0 THEN 'You need to  enable JavaScript to run this app. ' || text ELSE text END")}) AS t FROM documents)
 SELECT source, count(*) AS n FROM shown WHERE contains(t, 'you need to enable javascript to run this app') AND len(string_split(t, ' ')) <= 40 GROUP BY source""",
     "doc_content_dedupe": """SELECT CAST(min(doc_id) AS VARCHAR) AS id, lang AS content_type, arg_min(source, struct_pack(l := -length(source), d := doc_id)) AS course_name, arg_max(source, doc_id) AS content_hash, count(*) - 1 AS merged FROM documents GROUP BY lang, text""",
     "merge_longest_wins": "SELECT p_brand AS course_id, arg_min(p_name, struct_pack(l := -length(p_name), d := p_partkey)) AS course_name, arg_min(p_type, p_partkey) AS term FROM part GROUP BY p_brand",
@@ -141,11 +141,11 @@ SELECT source, count(*) AS n FROM shown WHERE contains(t, 'you need to enable ja
 SELECT 'url:https://school.example.com:' || (page_id % 3) || ':' || canonical_url AS key, CASE page_id % 3 WHEN 0 THEN 'home' WHEN 1 THEN 'files' ELSE 'other' END AS source_section,
   arg_min('f' || page_id, struct_pack(l := -length('f' || page_id), p := page_id)) AS file_name, bool_or(page_id % 2 = 0) AS is_hosted, count(*) - 1 AS merged, min(page_id) AS seq FROM urls GROUP BY page_id % 3, canonical_url""",
     "token_topk_by_course": f"""WITH words AS (
-  SELECT source AS course_key, unnest(string_split({_collapse(f"regexp_replace(lower(t || ' ' || {_collapse('t')}), '[^a-z0-9' || substr('{_WS}', 2), ' ', 'g')")}, ' ')) AS token FROM (SELECT source, {_TITLE} AS t FROM documents)),
+  SELECT source AS course_key, unnest(string_split({collapsed(f"regexp_replace(lower(t || ' ' || {collapsed('t')}), '[^a-z0-9' || substr('{WS}', 2), ' ', 'g')")}, ' ')) AS token FROM (SELECT source, {_TITLE} AS t FROM documents)),
 counted AS (SELECT course_key, token, count(*) AS score FROM words WHERE length(token) >= 4 AND token NOT IN ('from', 'into', 'that', 'this', 'with', 'your', 'week', 'module', 'page', 'pages', 'assignment', 'assignments', 'content', 'course', 'class', 'canvas', 'file', 'files', 'source', 'section', 'synced', 'extract', 'extracted', 'overview', 'recap') GROUP BY ALL)
 SELECT course_key, CAST(row_number() OVER (PARTITION BY course_key ORDER BY score DESC, token) AS INTEGER) AS rank, token, score FROM counted QUALIFY rank <= 10""",
     "token_topk_of_content": f"""WITH words AS (
-  SELECT source AS course_key, unnest(string_split({_collapse(f"regexp_replace(lower(t || ' ' || s), '[^a-z0-9' || substr('{_WS}', 2), ' ', 'g')")}, ' ')) AS token FROM (SELECT source, {_TITLE} AS t, substr({_collapse('text')}, 1, 240) AS s FROM documents)),
+  SELECT source AS course_key, unnest(string_split({collapsed(f"regexp_replace(lower(t || ' ' || s), '[^a-z0-9' || substr('{WS}', 2), ' ', 'g')")}, ' ')) AS token FROM (SELECT source, {_TITLE} AS t, substr({collapsed('text')}, 1, 240) AS s FROM documents)),
 counted AS (SELECT course_key, token, count(*) AS score FROM words WHERE length(token) >= 4 AND token NOT IN ('from', 'into', 'that', 'this', 'with', 'your', 'week', 'module', 'page', 'pages', 'assignment', 'assignments', 'content', 'course', 'class', 'canvas', 'file', 'files', 'source', 'section', 'synced', 'extract', 'extracted', 'overview', 'recap') GROUP BY ALL)
 SELECT course_key, CAST(row_number() OVER (PARTITION BY course_key ORDER BY score DESC, token) AS INTEGER) AS rank, token, score FROM counted QUALIFY rank <= 10""",
     "frontier_scan": "SELECT CAST(i AS VARCHAR) AS url, CAST(floor(log2(i + 1)) AS INTEGER) AS hop, CAST(i + 1 AS INTEGER) AS pos FROM (SELECT unnest(range(least(250, 2 * count(*) + 1))) AS i FROM documents)",

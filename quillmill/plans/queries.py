@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import dates, text, urls
 from quillmill.operators import chunking, crawl, dedupe, digests, extraction, inventory, links, planning, runs, sync
-from quillmill.plans import workspace
+from quillmill.plans import content, workspace  # noqa: F401  content adds to workspace's queries
 from quillmill.plans.oracle import SQL
 from quillmill.sources import html
 from quillmill.sources import page_facts as facts_of

@@ -16,12 +16,14 @@ from quillmill.sources.html import BLOCKS
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def docx_blocks(data: bytes | None) -> list[dict]:
-    """Empty for what is no Word document."""
+def docx_blocks(data: bytes | None, strict: bool = False) -> list[dict]:
+    """Empty for what is no Word document, or a ValueError if `strict`."""
     try:
         with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
             body = ElementTree.fromstring(z.read("word/document.xml"))
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+        if strict:
+            raise ValueError("It is no Word document.") from e
         return []
     out = []
     for p in body.iter(f"{_W}p"):

@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: what is noise in a page
-NOISE_TAGS = frozenset("script style noscript form button input select textarea iframe svg canvas nav header footer".split())
+NOISE_TAGS = frozenset(("script", "style", "noscript", "form", "button", "input", "select", "textarea", "iframe", "svg", "canvas", "nav", "header", "footer"))
 NOISE_CLASSES = frozenset(("screenreader-only", "sr-only"))
-BLOCK_TAGS = frozenset("article aside blockquote div figure h1 h2 h3 h4 h5 h6 li main ol p pre section table ul".split())
+# fixed values: elements whose blocks stand by themselves
+BLOCK_TAGS = frozenset(("article", "aside", "blockquote", "div", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "li", "main", "ol", "p", "pre", "section", "table", "ul"))
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset(("ul", "ol", "table", "div", "section", "article", "body"))
@@ -138,6 +139,13 @@ def page_blocks(html: str | None, title: str = "") -> list[dict]:
     return out
 
 
+def page_text(html: str) -> str:
+    """All text of a page but its noise."""
+    root = tree(html)
+    _prune(root)
+    return root.text()
+
+
 def page_links(html: str | None, url: str | None) -> list[dict]:
     out = []
     for n in tree(html or "").walk():
