@@ -1,19 +1,18 @@
 """Identity keys and dedupe with field-by-field merging.
 
-Every input carries `seq`, the order of discovery. dedupe_content() and merge_courses() are plain
-aggregations. dedupe_documents() follows aliases in order, which is no aggregation: rows that share a file id, or an URL with
-such a row, are folded per course scope, while all others have one name and are grouped by it. primary_key_dedupe() is the
-aggregation for inputs whose file ids agree with their URLs.
+Every input carries `seq`, the order of discovery, each number once. dedupe_content() and merge_courses() are plain
+aggregations, primary_key_dedupe() too, for inputs whose file ids agree with their URLs. dedupe_documents() follows aliases in
+order; see there.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import urls
 from quillmill.functions.text import filled, is_script_gate, let, text_or
+from quillmill.session import stored
 
 
 def document_identity(docs: DataFrame) -> DataFrame:
@@ -86,30 +85,62 @@ def primary_key_dedupe(docs: DataFrame) -> DataFrame:
     return _merge(document_identity(docs))
 
 
-def _fold_scope(rows: pd.DataFrame) -> pd.DataFrame:
-    """Which group each row of a course scope joins: the first known alias decides, and all its aliases then
-    point there. Groups that exist apart stay apart."""
-    target: dict[str, str] = {}
-    joined = []
-    for r in rows.sort_values("seq", kind="stable").itertuples():
-        names = [r.key, *([f"file:{r.scope}:{r.file_id}"] if r.file_id else []), *([f"url:{r.scope}:{r.canonical_url}"] if r.canonical_url else [])]
-        group = next((target[n] for n in names if n in target), r.key)
-        target.update(dict.fromkeys(names, group))
-        joined.append((r.seq, group))
-    return pd.DataFrame(joined, columns=["seq", "group"])
+#: Neighbouring numbers of seq that are looked through at a time for one file id.
+SPAN = 100_000
+
+
+def _last_url_before(rows: DataFrame) -> DataFrame:
+    """rows: (scope, file_id, seq, key, url), url null where a row has no URL. Adds `before`, the last URL key among earlier rows of the
+    file id, and `known`, whether there is any earlier row. A file id of very many rows is looked through in spans of seq, and
+    the spans' last rows hand on what came before."""
+    rows = rows.withColumn("span", F.floor(F.col("seq") / SPAN))
+    by, inside = ["scope", "file_id"], Window.partitionBy("scope", "file_id", "span").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.groupBy(*by, "span").agg(F.max_by("url", F.when(F.col("url").isNotNull(), F.col("seq"))).alias("last"))
+    earlier = Window.partitionBy(*by).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select(*by, "span", F.last("last", ignorenulls=True).over(earlier).alias("carried"), (F.count("*").over(earlier) > 0).alias("had"))
+    near = rows.withColumn("near", F.last("url", ignorenulls=True).over(inside)).withColumn("nth", F.count("*").over(inside))
+    out = near.join(carried, [*by, "span"])
+    return out.withColumn("before", F.coalesce("near", "carried")).withColumn("known", F.col("had") | (F.col("nth") > 0)).drop("near", "nth", "carried", "had", "span")
+
+
+def _roots(parents: DataFrame) -> DataFrame:
+    """(node, root) of a forest given by (node, parent), one row per node that has a parent, by pointer doubling: there are as many
+    rounds as the logarithm of its depth."""
+    at = stored(parents.select("node", F.col("parent").alias("root")))
+    while True:
+        jump = at.select(F.col("node").alias("n"), F.col("root").alias("r"))
+        step = stored(at.join(jump, F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root"), F.col("r").isNotNull().alias("moved")))
+        at = step.drop("moved")
+        if not step.where("moved").limit(1).count():
+            return at
+
+
+def alias_groups(keyed: DataFrame) -> DataFrame:
+    """`keyed` (of document_identity()) with `key` replaced by that of the group that each row joins.
+
+    In order of seq a row joins the group of the first of its names (URL, file id) that is known, else it founds one, and then all its
+    names stand for that group; groups that exist apart stay apart. So an URL's group is settled where the URL first comes up: by
+    the row's file id if that is known by then, and what a file id stands for is the group of the URL it last came with. That makes every
+    URL point to an earlier URL (or to a file id that came without one) or to nothing: a forest, whose roots are the groups.
+    Pointers come from a window over rows of one file id, roots from pointer doubling; nothing is folded row by row."""
+    filed = keyed.where("file_id is not null")
+    if not filed.limit(1).count():
+        return keyed
+    has_url = filled(F.col("canonical_url"))
+    rows = stored(_last_url_before(filed.select("scope", "file_id", "seq", "key", F.when(has_url, F.col("key")).alias("url"))))
+    file_key = F.concat_ws(":", F.lit("file"), "scope", "file_id")
+    first = keyed.where(has_url).groupBy("key").agg(F.min("seq").alias("seq"), F.min_by("file_id", "seq").alias("file_id")).where("file_id is not null").select("seq")
+    parents = rows.where("known and url is not null").join(first, "seq", "left_semi").select(F.col("key").alias("node"), F.coalesce("before", file_key).alias("parent"))
+    roots = _roots(parents.where("node <> parent"))
+    bare = rows.where("url is null and before is not null").select(F.col("seq").alias("__seq"), F.col("before").alias("__before"))
+    named = keyed.join(bare, F.col("seq") == F.col("__seq"), "left").withColumn("key", F.coalesce("__before", "key")).drop("__seq", "__before")
+    return named.join(roots, F.col("key") == F.col("node"), "left").withColumn("key", F.coalesce("root", "key")).drop("node", "root")
 
 
 def dedupe_documents(docs: DataFrame) -> DataFrame:
     """One row per document under any of its names (URL, file id, file name) within its course scope. The id
     (`key`) is that of the group's first row, even where a hosted row later replaces the URL."""
-    keyed = document_identity(docs)
-    linked = keyed.where("file_id is not null").select("scope", "canonical_url").where(filled(F.col("canonical_url"))).distinct().withColumn("__linked", F.lit(True))
-    named = keyed.join(linked, ["scope", "canonical_url"], "left")
-    several = F.col("file_id").isNotNull() | F.coalesce("__linked", F.lit(False))
-    light = named.where(several).select("seq", "scope", "key", "file_id", "canonical_url")
-    groups = light.groupBy("scope").applyInPandas(_fold_scope, "seq long, group string")
-    folded = named.where(several).join(groups, "seq").drop("key", "__linked").withColumnRenamed("group", "key")
-    return _merge(folded.unionByName(named.where(~several).drop("__linked")))
+    return _merge(alias_groups(document_identity(docs)))
 
 
 def _merge(keyed: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.operators import crawl, extract
+from quillmill.operators import crawl, dedupe, extract
 from quillmill.plans.oracle import WS, collapsed
 from quillmill.plans.workspace import query, table
 
@@ -106,3 +106,31 @@ scanned AS (SELECT r.course AS course_id, p.url, r.section, CAST(r.hop AS INTEGE
 @query(f"{_CRAWL} SELECT * FROM scanned")
 def course_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.scan_courses(*_course_graph(spark, sf_dir))
+
+
+# ---- documents under several names
+
+
+def aliased_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as file links of four courses (their languages): URLs and file ids that come up again, alone or in each other's company,
+    as their lengths have it."""
+    i, n = F.col("doc_id"), F.col("n_chars")
+    return table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("course_id"), F.lit("Course").alias("course_name"), F.when(n % 2 == 0, "files").otherwise("home").alias("source_section"), F.lit("t").alias("source_page_title"), F.lit("https://school.example.com/").alias("source_page_url"), F.concat(F.lit("f"), i).alias("file_name"),
+        F.lit("").alias("link_text"), F.lit("").alias("folder_hint"), F.when(i % 4 > 0, F.concat(F.lit("https://school.example.com/d/"), n % 300)).otherwise("").alias("url"), F.lit("").alias("canonical_url"), F.when(n % 3 > 0, F.concat(F.lit("id"), (n * 7 + i) % 97)).alias("file_id"),
+        (n % 2 == 0).alias("is_hosted"), F.lit(True).alias("is_downloadable"), F.lit(False).alias("is_external"), F.lit("2024-01-01").alias("discovered_at"), i.alias("seq"),
+    )
+
+
+@query("""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id AS seq, n_chars, 'https://school.example.com:' || lang AS scope, CASE WHEN doc_id % 4 > 0 THEN 'url:https://school.example.com:' || lang || ':https://school.example.com/d/' || n_chars % 300 END AS url,
+  CASE WHEN n_chars % 3 > 0 THEN 'file:https://school.example.com:' || lang || ':id' || (n_chars * 7 + doc_id) % 97 END AS file FROM documents),
+k AS MATERIALIZED (SELECT *, CASE WHEN url IS NOT NULL THEN url WHEN file IS NOT NULL THEN file ELSE 'name:' || scope || ':f' || seq END AS key, row_number() OVER (PARTITION BY url ORDER BY seq) AS nth FROM d),
+b AS MATERIALIZED (SELECT k.*, (SELECT arg_max(e.url, e.seq) FROM k e WHERE e.file = k.file AND e.seq < k.seq) AS before, EXISTS (SELECT 1 FROM k e WHERE e.file = k.file AND e.seq < k.seq) AS known FROM k),
+up AS (SELECT key AS node, coalesce(before, file) AS parent FROM b WHERE url IS NOT NULL AND nth = 1 AND known),
+walk AS (SELECT node, parent AS root FROM up UNION ALL SELECT walk.node, up.parent FROM walk JOIN up ON up.node = walk.root),
+roots AS (SELECT node, root FROM walk WHERE root NOT IN (SELECT node FROM up)),
+g AS (SELECT seq, n_chars, coalesce(r.root, x.key) AS key FROM (SELECT seq, n_chars, CASE WHEN url IS NULL AND file IS NOT NULL THEN coalesce(before, key) ELSE key END AS key FROM b) x LEFT JOIN roots r ON r.node = x.key)
+SELECT key, CASE WHEN bool_or(n_chars % 2 = 0) THEN 'files' ELSE 'home' END AS source_section, arg_min('f' || seq, struct_pack(l := -length('f' || seq), s := seq)) AS file_name, bool_or(n_chars % 2 = 0) AS is_hosted, count(*) - 1 AS merged, min(seq) AS seq FROM g GROUP BY key""")
+def document_alias_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.dedupe_documents(aliased_documents(spark, sf_dir)).select("key", "source_section", "file_name", "is_hosted", "merged", "seq")

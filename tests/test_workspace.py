@@ -122,25 +122,3 @@ def test_table_versions(spark, tmp_path):
     assert sorted(r.k for r in tables.read(spark, root).collect()) == [3, 9] and tables.current(spark, root).split("/")[-1][0] == "v"
     assert tables.vacuum(spark, root) == 3 and tables.vacuum(spark, root) == 0
     assert sorted(r.k for r in tables.read(spark, root).collect()) == [3, 9]
-
-
-def test_documents_of_one_name_are_not_folded(spark):
-    """The same groups as when every row of a scope is folded."""
-    import random
-
-    import pandas as pd
-
-    from quillmill.operators import dedupe
-
-    rnd = random.Random(4)
-    rows = []
-    for i in range(200):
-        url, fid = rnd.choice([f"https://x.example.com/d{rnd.randrange(40)}", ""]), rnd.choice([None, None, str(rnd.randrange(20))])
-        rows.append((rnd.choice(["1", "2"]), "Course", "files", "t", "https://x.example.com/", f"f{rnd.randrange(30)}", "", "", url, "", fid, False, True, False, "2024-01-01", i))
-    schema = "course_id string, course_name string, source_section string, source_page_title string, source_page_url string, file_name string, link_text string, folder_hint string, url string, canonical_url string, file_id string, is_hosted boolean, is_downloadable boolean, is_external boolean, discovered_at string, seq long"
-    df = spark.createDataFrame(rows, schema)
-    keyed = dedupe.document_identity(df).toPandas()
-    whole = pd.concat([dedupe._fold_scope(g.where(g.notna(), None)) for _, g in keyed.groupby("scope")])
-    expect = whole.groupby("group").seq.agg(["min", "count"])
-    got = {r.key: (r.seq, r.merged + 1) for r in dedupe.dedupe_documents(df).collect()}
-    assert got == {k: (v["min"], v["count"]) for k, v in expect.to_dict("index").items()}
