@@ -48,7 +48,7 @@ SHARD_BYTES, LEAST_BYTES = 256_000_000, 1_000_000
 #: Keys a bucket of the index has about; sampled keys per shard when shards are cut; ids that are read at once, about.
 BUCKET, A_SHARD, READ = 4096, 64, 1_000_000
 #: Distinct stretches of text whose ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 _MARK = b"tokens1"
 _ENTRY = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n", "<u4"), ("documents", "<u8")])
 _ORDER = ("id", "tie", "salt")
@@ -104,18 +104,23 @@ class Encoder:
         space = (now == 2) & ((one == 1) | (one == 4) | wide)
         return np.flatnonzero(space | (now == 4) & letter | (now == 1) & (one == 4) & (data[1:-1] != 0x27)) + 2
 
+    def _note(self, stretch: bytes, ids: list[int] | array) -> None:
+        self.known[stretch] = len(self.first)
+        self.first.append(len(self.pool))
+        self.size.append(len(ids))
+        self.pool.extend(ids)
+
     def _of(self, stretches: list[bytes]) -> np.ndarray:
         """Where in `first` and `size` the ids of these stretches are noted."""
         new = [s for s in stretches if s not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > REMEMBERED:  # what came up again stays
+            known, pool, first, size = self.known, self.pool, self.first, self.size
             self._forget()
-            new = stretches
+            for s in stretches:
+                if (at := known.get(s)) is not None:
+                    self._note(s, pool[first[at] : first[at] + size[at]])
         for s, e in zip(new, self.tokenizer.encode_batch_fast([s.decode() for s in new], add_special_tokens=False)):
-            ids = e.ids
-            self.known[s] = len(self.first)
-            self.first.append(len(self.pool))
-            self.size.append(len(ids))
-            self.pool.extend(ids)
+            self._note(s, e.ids)
         return np.array([self.known[s] for s in stretches], np.int64)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
