@@ -138,7 +138,7 @@ def is_file_preview(p: Column) -> Column:
 def file_name(p: Column) -> Column:
     """The filename parameter, else the last path segment unless it is a number or "download"."""
     named = F.nullif(param(p, "filename"), F.lit(""))
-    last = F.coalesce(F.element_at(F.filter(F.split(p["path"], "/"), lambda s: s != ""), -1), F.lit(""))
+    last = F.coalesce(F.try_element_at(F.filter(F.split(p["path"], "/"), lambda s: s != ""), F.lit(-1)), F.lit(""))
     told = let(text(decode(last)), lambda n: F.when(n.rlike("^[0-9]+$") | (n == "download"), "").otherwise(n))
     return F.coalesce(F.when(named.isNotNull(), text(decode(named))), told, F.lit(""))
 

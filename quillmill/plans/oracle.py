@@ -149,6 +149,13 @@ SELECT course_key, CAST(row_number() OVER (PARTITION BY course_key ORDER BY scor
 counted AS (SELECT course_key, token, count(*) AS score FROM words WHERE length(token) >= 4 AND token NOT IN ('from', 'into', 'that', 'this', 'with', 'your', 'week', 'module', 'page', 'pages', 'assignment', 'assignments', 'content', 'course', 'class', 'canvas', 'file', 'files', 'source', 'section', 'synced', 'extract', 'extracted', 'overview', 'recap') GROUP BY ALL)
 SELECT course_key, CAST(row_number() OVER (PARTITION BY course_key ORDER BY score DESC, token) AS INTEGER) AS rank, token, score FROM counted QUALIFY rank <= 10""",
     "frontier_scan": "SELECT CAST(i AS VARCHAR) AS url, CAST(floor(log2(i + 1)) AS INTEGER) AS hop, CAST(i + 1 AS INTEGER) AS pos FROM (SELECT unnest(range(least(250, 2 * count(*) + 1))) AS i FROM documents)",
+    "page_block_rows": rf"""WITH parts AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(html, '<h1[^>]*>', '<p>' || chr(1), 'g').regexp_replace('(?s)<head>.*?</head>|<nav>.*?</nav>|<footer>.*?</footer>|<!--.*?-->', '', 'g'), '</?(?:p|div|article|h1|body|html|!DOCTYPE)[^>]*>'),
+  lambda x: {collapsed("replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', chr(34)), '&amp;', '&')")}), lambda x: x NOT IN ('', chr(1))) AS p FROM pages)
+SELECT page_id, CAST(unnest(generate_series(0, len(p) - 1)) AS INTEGER) AS ord, unnest(list_transform(p, lambda x: CASE WHEN x[1] = chr(1) THEN 'heading' ELSE 'paragraph' END)) AS type, CAST(unnest(list_transform(p, lambda x: CASE WHEN x[1] = chr(1) THEN 1 ELSE 0 END)) AS INTEGER) AS level, unnest(list_transform(p, lambda x: ltrim(replace(x, chr(1), '')))) AS text FROM parts""",
+    "page_facts": rf"""WITH s AS (SELECT page_id, url, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h1, regexp_replace(html, '(?s)<head>.*?</head>|<nav>.*?</nav>|<footer>.*?</footer>|<!--.*?-->', '', 'g') AS h FROM pages),
+parts AS (SELECT page_id, url, {collapsed("replace(replace(regexp_replace(h1, '<[^>]*>', '', 'g'), '&quot;', chr(34)), '&amp;', '&')")} AS title, list_filter(list_transform(regexp_split_to_array(h, '<(?:br|/?(?:p|div|article|h1|body|html|!DOCTYPE))[^>]*>'),
+  lambda x: trim(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', chr(34)), '&amp;', '&'), chr(160), ' '), '[ \t]{{2,}}', ' ', 'g'), ' ' || chr(10) || chr(9))), lambda x: x <> '') AS p FROM s)
+SELECT page_id, url, CASE WHEN title = '' THEN 'Page' ELSE title END AS title, CAST(NULL AS VARCHAR) AS due_date, '' AS week_or_module, regexp_replace(array_to_string(p, chr(10)), '{WS}*\n{WS}*', chr(10), 'g') AS body_text, 'canvas_page' AS content_type FROM parts""",
     "page_links": _LINKS + " SELECT page_id, CAST(ord AS INTEGER) AS ord, href, CASE WHEN starts_with(href, '/') THEN origin || href ELSE href END AS url, label, '' AS rel FROM cut",
     "page_link_kinds": _LINKS + r""" SELECT page_id, CAST(0 AS BIGINT) AS hosted, count(*) FILTER (WHERE doc AND outside) AS external, count(*) FILTER (WHERE doc AND NOT outside) AS document, count(*) FILTER (WHERE NOT doc) AS ignored, CAST(0 AS BIGINT) AS no_url
 FROM (SELECT page_id, regexp_matches(lower(href), '\.(pdf|docx?|html?|pptx?|xlsx?|txt|zip)$') AS doc, starts_with(href, 'http') AND NOT starts_with(href, origin) AS outside FROM cut) GROUP BY page_id""",

@@ -305,6 +305,11 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_rows(_table(spark, sf_dir, "pages"))[0]
 
 
+def page_block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All blocks of all pages; level 0 is no heading."""
+    return page_blocks(spark, sf_dir).select("page_id", "ord", "type", F.coalesce("level", F.lit(0)).alias("level"), "text")
+
+
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_rows(_table(spark, sf_dir, "pages"))[1]
 
@@ -427,7 +432,7 @@ _QUERIES = (
     weekly_tasks_by_course, urgent_tasks, refs_union_all_dups, metadata_gaps_top20, rolling_7d_events, custom_window_events, content_counts_by_course_type, content_overview, content_bullets, content_overview_rollup, inventory_union,
     inventory_summary, extraction_left_merge, extraction_summary_counts, queue_recovery, enqueue_outcomes, history_top80, extraction_descriptors, course_semi_filter, visited_anti, latest_run_per_automation, run_log_top30,
     canonical_urls, url_dedupe, url_parts_classify, text_metrics, stable_hash_docs, js_gate_filter, doc_content_dedupe, merge_longest_wins, document_dedupe, token_topk_by_course, token_topk_of_content, phrase_topk_by_course, phrase_topk_of_content, chunks, chunk_counts,
-    heading_trail, page_blocks, page_links, page_facts, page_file_names, dashboard_courses, page_link_counts, page_link_kinds, course_recaps, course_recap_seed, frontier_scan, sync_actions, sync_second_run, definition_overlay, plan_summary, contract_summary, readiness_counts, readiness_level, validation_checks, progress_totals,
+    heading_trail, page_blocks, page_block_rows, page_links, page_facts, page_file_names, dashboard_courses, page_link_counts, page_link_kinds, course_recaps, course_recap_seed, frontier_scan, sync_actions, sync_second_run, definition_overlay, plan_summary, contract_summary, readiness_counts, readiness_level, validation_checks, progress_totals,
 )
 
 

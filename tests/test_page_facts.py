@@ -1,3 +1,6 @@
+import random
+
+import plain_pages as plain
 from pyspark.sql import functions as F
 
 from quillmill.sources import page_facts
@@ -41,3 +44,66 @@ def test_dashboard(spark):
     df = spark.createDataFrame([(1, "https://a.example.com/", html), (2, None, None)], PAGES)
     got = sorted(tuple(r) for r in page_facts.dashboard_courses(df).select("origin", "course_id", "course_name", "term").collect())
     assert got == [("https://a.example.com", "7", "Biology 101", "Fall 2024"), ("https://b.example.com", "7", "Other", "Term 1")]
+
+
+def _random_page(rnd):
+    """Nested elements of all kinds that facts look at."""
+    kinds = ["p", "div", "li", "ul", "span", "h1", "h2", "td", "tr", "table", "main", "nav", "section", "a", "strong"]
+    attrs = ["", "", "", " class='user_content'", " class='header-bar x'", " class='context_module'", " class='page-header'", " id='content'", " id='context_modules'", " hidden", " class='breadcrumbs'", " class='ic-DashboardCard'", " class='term'", " aria-hidden='true'", " data-course-name='C'"]
+
+    def inner(depth):
+        out = []
+        for _ in range(rnd.randrange(1, 4)):
+            k = rnd.random()
+            if k < 0.3 or depth > 5:
+                out.append(rnd.choice(["one ", " two\n three", "&nbsp;", "\u2022 x", "Fall term", " ", "Folder: Week 2"]))
+            elif k < 0.38:
+                out.append(rnd.choice(["<br>", "<img alt='A cell'>", "<img>", "<time datetime='2024-02-0%d'>May</time>" % rnd.randrange(1, 9), "<script>no</script>"]))
+            elif k < 0.5:
+                out.append(f"<a href='{rnd.choice(['/courses/7', 'https://b.example.com/courses/8/files', 'notes.pdf', '/x/', 'http://[bad'])}'>{rnd.choice(['Open', 'b.docx', '', 'Home', 'Files <b>now</b>'])}</a>")
+            else:
+                tag = rnd.choice(kinds)
+                out.append(f"<{tag}{rnd.choice(attrs)}>{inner(depth + 1)}</{tag}>")
+        return "".join(out)
+
+    return f"<title>T{rnd.randrange(9)} | Site</title><body>{inner(0)}</body>"
+
+
+def test_joins_find_what_a_walk_finds(spark):
+    """On random pages and on a whole table."""
+    rnd = random.Random(11)
+    sections = ["pages", "assignments", "syllabus", "home", "modules", "files", "other"]
+    rows = [(i, "https://a.example.com/p/", _random_page(rnd)) for i in range(250)] + [(1000 + r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    pages = spark.createDataFrame(rows, PAGES).repartition(4)
+    of = F.element_at(F.array(*[F.lit(s) for s in sections]), (F.col("page_id") % len(sections) + 1).cast("int"))
+    got = {r.page_id: r for r in page_facts.facts(pages, of, F.lit("")).collect()}
+    links = {(r.page_id, r.ord): r for r in page_facts.file_links(pages, F.lit("files")).collect()}
+    seen = 0
+    for i, url, html in rows:
+        want = plain._facts(html, sections[i % len(sections)])
+        assert (got[i].title, got[i].due_date, got[i].week_or_module, got[i].body_text) == (want["title"], want["due_date"], want["week_or_module"], want["body_text"]), html
+        for k, f in enumerate(plain._files(html)):
+            assert (links[i, k].href, links[i, k].label) == (f["href"], f["label"])
+            below = "/".join(f["crumbs"][1:]) if len(f["crumbs"]) > 1 else (f["row_text"].split("Folder:", 1)[1].strip() if "Folder:" in f["row_text"] else None)
+            assert links[i, k].folder_hint == ((below or None) if f["row_text"] else None)
+            seen += 1
+    assert seen == len(links)
+    cards = {}
+    for i, url, html in rows:
+        for c in plain._cards(html, url):
+            name = next((n for x in c["names"] if (n := plain._line(x)) and n.lower() not in page_facts.NO_COURSE_NAMES), None)
+            if name and "/courses/" in c["url"]:
+                key = (i, c["url"].split("/courses/")[0], c["url"].split("/courses/")[1].split("/")[0])
+                cards.setdefault(key, []).append((name, c["term"]))
+    want = {k: (max((n for n, _ in v), key=len), next((t for _, t in v if t), None)) for k, v in cards.items()}
+    assert {(r.page_id, r.origin, r.course_id): (r.course_name, r.term) for r in page_facts.dashboard_courses(pages).collect()} == want and len(want) > 20
+
+
+def test_course_pages(spark):
+    html = """<div id='breadcrumbs'><li>Home</li><li>Biology</li></div><a href='/courses/7/modules'>M</a><a href='/courses/7/modules/2'>later</a><a href='/courses/8/files'>other</a><a href='/courses/7/grades'>Files</a>
+      <a href='/courses/7/x'> PAGES </a><a href='https://b.example.com/courses/7/files'>away</a>"""
+    rows = [(1, "https://a.example.com/courses/7/pages/intro", html), (2, "https://a.example.com/dashboard", html), (3, "https://a.example.com/courses/7", None), (4, None, html)]
+    got = {r.page_id: r for r in page_facts.course_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert set(got) == {1, 3} and (got[1].origin, got[1].course_id, got[1].course_name, got[1].section) == ("https://a.example.com", "7", "Biology", "pages")
+    at = "https://a.example.com/courses/7"
+    assert got[1].nav == {"modules": f"{at}/modules", "files": f"{at}/grades", "pages": f"{at}/x", "home": at} and got[3].nav == {"home": at} and got[3].course_name is None and got[3].section == "home"
