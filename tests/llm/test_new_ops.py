@@ -193,3 +193,33 @@ def test_against_sql(spark, name):
     got, want = queries.queries()[name](spark, SF).toPandas(), con.execute(queries.oracle_sql()[name]).df()
     key = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(str).to_numpy().tolist()))
     assert key(got) == key(want)
+
+
+# -- 8, writing and equal rows
+
+
+def test_shards_are_written_whole(spark, tmp_path):
+    from quillmill.llm import sharding
+
+    rows = [(i, f"text {i} " * (i % 9), 7 * i, f"s{i % 2}", i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, size long, Shard string, slot int")
+    sharding.write(df, str(tmp_path / "s"), 4)
+    got = spark.read.parquet(str(tmp_path / "s"))
+    assert set(got.columns) == {*df.columns, "shard_"} and sorted(tuple(r) for r in got.select(*df.columns).collect()) == sorted(rows)
+    assert got.select("shard_").distinct().count() == 4
+    both = sharding.assign(df, 4, carry=("size", "Shard"))
+    assert {(r.doc_id, r.size_, r.Shard_) for r in both.collect()} == {(r[0], r[2], r[3]) for r in rows}
+
+
+def test_equal_rows_are_divided(spark):
+    """A third of all rows are one and the same, others have no id and equal texts: no range holds them all."""
+    from quillmill.llm import sharding
+
+    df = spark.createDataFrame([(i, f"text number {i}") for i in range(2000)] + [(5, "the same row")] * 1500 + [(None, "no id")] * 1000, "doc_id long, text string").repartition(6)
+    out = sharding.assign(df, 6)
+    per = {r.shard: (r.b, r.n, r.top) for r in out.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("top")).collect()}
+    assert len(per) == 6 and max(b for b, _, _ in per.values()) - min(b for b, _, _ in per.values()) <= 3 * 25 and all(n == top + 1 for _, n, top in per.values())
+    keyed = df.select(F.xxhash64("text").alias("key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("ord"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"), (F.octet_length("text") + 8).cast("long").alias("size")).persist()
+    total = keyed.agg(F.sum("size")).first()[0]
+    bounds = sharding._sampled_bounds(keyed, total, 64)
+    assert keyed.withColumn("rng", sharding._range_of(bounds)).groupBy("rng").count().agg(F.max("count")).first()[0] < 400
