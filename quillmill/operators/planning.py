@@ -98,6 +98,14 @@ def check(name: str, df: DataFrame, bad: Column, blocking: bool) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.count_if(F.coalesce(bad, F.lit(False))).alias("bad")).select(F.lit(name).alias("check"), "rows", "bad", F.when(F.col("bad") == 0, "ok").otherwise("blocked" if blocking else "warning").alias("status"))
 
 
+def checks(df: DataFrame, named: dict[str, tuple[Column, bool]]) -> DataFrame:
+    """check() of all of these {name: (bad, blocking)} over one table, in one scan of it: a row per check."""
+    bad = [F.count_if(F.coalesce(c, F.lit(False))) for c, _ in named.values()]
+    rows = F.array(*[F.struct(F.lit(n).alias("check"), b.alias("bad"), F.lit("blocked" if blocking else "warning").alias("__s")) for (n, (_, blocking)), b in zip(named.items(), bad)])
+    out = df.agg(F.count("*").alias("rows"), rows.alias("__r")).select("rows", F.explode("__r").alias("__r")).select("__r.*", "rows")
+    return out.select("check", "rows", "bad", F.when(F.col("bad") == 0, "ok").otherwise(F.col("__s")).alias("status"))
+
+
 def worst(checks: DataFrame) -> DataFrame:
     order = F.array(*[F.lit(x) for x in ("ok", "warning", "blocked")])
     return checks.agg(F.max_by("status", F.array_position(order, F.col("status"))).alias("status"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.operators import crawl, dedupe, extract
+from quillmill.functions import dates, render, text, urls
+from quillmill.operators import bodies, crawl, dedupe, extract, outputs, status
 from quillmill.plans.oracle import WS, collapsed
 from quillmill.plans.workspace import query, table
 
@@ -134,3 +135,77 @@ g AS (SELECT seq, n_chars, coalesce(r.root, x.key) AS key FROM (SELECT seq, n_ch
 SELECT key, CASE WHEN bool_or(n_chars % 2 = 0) THEN 'files' ELSE 'home' END AS source_section, arg_min('f' || seq, struct_pack(l := -length('f' || seq), s := seq)) AS file_name, bool_or(n_chars % 2 = 0) AS is_hosted, count(*) - 1 AS merged, min(seq) AS seq FROM g GROUP BY key""")
 def document_alias_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.dedupe_documents(aliased_documents(spark, sf_dir)).select("key", "source_section", "file_name", "is_hosted", "merged", "seq")
+
+
+# ---- functions over whole texts, URLs and dates
+
+
+@query(r"""SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;')) AS escaped, CASE WHEN text = '' THEN '' ELSE substr(text, 1, 6) || '…' || right(text, 4) END AS masked,
+  regexp_replace(md5(text), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') AS uuid, 'run:' || source || '-' || lang AS output_id FROM documents""")
+def document_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, t = table(spark, sf_dir, "documents"), F.col("text")
+    page = F.concat(F.lit("https://n.example.com/Page-"), F.md5(t), F.lit("?v=1"))
+    return d.select("doc_id", F.md5(text.escape_html(t)).alias("escaped"), text.mask(t).alias("masked"), text.uuid(page).alias("uuid"), outputs.output_id(F.lit("run"), F.concat_ws("-", "source", "lang")).alias("output_id"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderdate AS a, o_orderdate + to_days(CAST(o_custkey % 20 AS INTEGER)) AS b, date_trunc('week', o_orderdate) AS w FROM orders)
+SELECT o_orderkey, strftime(a, '%b %-d') || CASE WHEN a = b THEN '' ELSE ' - ' || strftime(b, '%b %-d') END AS range, 'Current Week · ' || strftime(w, '%b %-d') || ' - ' || strftime(w + INTERVAL 6 DAYS, '%b %-d') AS week FROM o""")
+def order_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each date of an order to one of the next twenty days, and the week it lies in."""
+    start = F.col("o_orderdate").cast("timestamp")
+    end = start + F.make_dt_interval((F.col("o_custkey") % 20).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.range_label(start, end).alias("range"), dates.window_label(start).alias("week"))
+
+
+def _escaped(c: str) -> str:
+    return f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents)
+SELECT doc_id, '<p>' || {_escaped('lines[1]')} || '</p><h2>Course Recap</h2><ul>' || array_to_string(list_transform(lines, lambda x: '<li>' || {_escaped('x')} || '</li>'), '') || '</ul><h2>Candidate Topics</h2><p>No candidate topics.</p><h2>Source References</h2><ul><li><strong>'
+  || {_escaped('lines[1]')} || '</strong> — ' || source || ' (<a href="https://files.example.com/' || doc_id || '">Source</a>)</li></ul>' AS html FROM d""")
+def document_recaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a recap of its lines that refers to itself."""
+    lines = F.split("text", "\n")
+    ref = F.struct(lines[0].alias("title"), F.col("source").alias("course_name"), F.lit("").alias("content_type"), F.lit("").alias("date"), F.concat(F.lit("https://files.example.com/"), "doc_id").alias("url"))
+    return table(spark, sf_dir, "documents").select("doc_id", render.recap_html(lines[0], lines, F.array().cast("array<string>"), F.array(ref)).alias("html"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^(https?)://[^/]+/[a-z]+/(\d+)', 2) AS course, regexp_extract(url, '^(https?)://', 1) AS scheme, md5(html) AS h FROM pages)
+SELECT page_id, course AS course_id, 'pages' AS section, scheme || '://school.instructure.com/courses/' || course AS home, FALSE AS ignored, TRUE AS in_course, regexp_replace(h, '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') AS destination, TRUE AS is_valid FROM p""")
+def page_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each URL as that of a page of the course that its number names, and a page of a workspace that its content's hash names."""
+    url = F.regexp_replace("url", r"^(https?)://[^/]+/([a-z]+)/(\d+)", "$1://school.instructure.com/courses/$3/pages/$2")
+    p = table(spark, sf_dir, "pages").select("page_id", urls.parts(url).alias("p"), status.destination(F.concat(F.lit("https://www.notion.so/Team-"), F.md5("html"), F.lit("?v=1"))).alias("to"))
+    x, course = F.col("p"), urls.course_id(F.col("p"))
+    return p.select("page_id", course.alias("course_id"), urls.section(x, course).alias("section"), urls.course_home(x, course).alias("home"), urls.is_ignored_route(x, x["origin"], course).alias("ignored"), urls.in_course(x, x["origin"], course).alias("in_course"), F.col("to.page_id").alias("destination"), "to.is_valid")
+
+
+# ---- page bodies
+
+
+_BODY = r"""
+WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'external_resource' WHEN 1 THEN 'file_artifact' ELSE 'canvas_page' END AS kind, doc_id % 8 = 1 AS up, doc_id % 3 > 0 AS told, 'https://files.example.com/' || doc_id AS src, source, n_chars, text FROM documents),
+parts AS (SELECT doc_id, 0 AS band, 0 AS ord, 'paragraph' AS type, 'Source page: ' || source AS text FROM r UNION ALL SELECT doc_id, 0, 1, 'paragraph', 'Canvas URL: ' || src FROM r UNION ALL SELECT doc_id, 0, 2, 'paragraph', 'Source section: files' FROM r UNION ALL SELECT doc_id, 0, 3, 'paragraph', 'Synced at: now' FROM r
+UNION ALL SELECT doc_id, 1, 0, 'pdf', 'f' || doc_id || '.pdf' FROM r WHERE kind = 'file_artifact' AND up
+UNION ALL SELECT doc_id, 2, 0, 'paragraph', CASE WHEN up THEN 'Artifact attached from ' || src || '.' ELSE 'Artifact not attached yet. Source: ' || src || '.' END FROM r WHERE kind = 'file_artifact'
+UNION ALL SELECT doc_id, 2, 0, 'paragraph', 'External resource: ' || src FROM r WHERE kind = 'external_resource'
+UNION ALL SELECT doc_id, 3, 0, 'heading_2', 'Extracted Content' FROM r WHERE kind <> 'external_resource' AND told
+UNION ALL SELECT doc_id, 3, 1, 'paragraph', 'Extraction: extracted · ' || n_chars || ' words · 2 chunks' FROM r WHERE kind <> 'external_resource' AND told
+UNION ALL SELECT doc_id, 4, unnest(generate_series(1, len(l))), 'paragraph', unnest(l) FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {collapsed}), lambda x: x <> '') AS l FROM r WHERE kind = 'canvas_page' OR kind = 'file_artifact' AND told)),
+kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id, band >= 3 ORDER BY band, ord) AS nth FROM parts)
+SELECT CAST(doc_id AS VARCHAR) AS content_object_id, CAST(row_number() OVER o - 1 AS INTEGER) AS pos, CAST((row_number() OVER o - 1) // 100 AS INTEGER) AS batch, type, replace(text, ' ', '') AS letters FROM kept WHERE band < 3 OR nth <= 1000 WINDOW o AS (PARTITION BY doc_id ORDER BY band, ord)""".replace("{collapsed}", collapsed("x"))
+
+
+@query(_BODY)
+def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as attached files, outside resources and pages; each line is a paragraph. Long paragraphs are cut at blanks, so letters are compared."""
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    lines = F.filter(F.transform(F.split("text", "\n"), text.collapse), lambda x: x != "")
+    html = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<p>"), text.escape_html(x), F.lit("</p>"))), "")
+    kind = F.when(i % 4 == 0, "external_resource").when(i % 4 == 1, "file_artifact").otherwise("canvas_page")
+    rows = d.select(
+        i.cast("string").alias("content_object_id"), kind.alias("content_type"), F.col("source").alias("source_page_title"), F.concat(F.lit("https://files.example.com/"), i).alias("source_url"), F.lit("files").alias("source_section"), F.concat(F.lit("f"), i, F.lit(".pdf")).alias("file_name"),
+        F.lit("extracted").alias("extraction_status"), F.when(i % 3 > 0, F.col("text")).alias("extracted_text"), html.alias("extracted_html"), html.alias("body_html"), F.col("n_chars").alias("word_count"), F.lit(2).alias("chunk_count"), F.when(i % 8 == 1, "up").alias("upload"),
+    )
+    return bodies.rows(rows, F.lit("now")).select("content_object_id", "pos", "batch", "type", F.replace("text", F.lit(" "), F.lit("")).alias("letters"))

@@ -412,12 +412,9 @@ def readiness_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def validation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, o, p = (_table(spark, sf_dir, t) for t in ("documents", "orders", "pages"))
-    checks = [
-        planning.check("texts_present", d, ~text.filled(F.col("text")), True), planning.check("sources_present", d, ~text.filled(F.col("source")), True), planning.check("short_texts", d, F.col("n_chars") < 100, False),
-        planning.check("tasks_dated", o, F.col("o_orderdate").isNull(), True), planning.check("secure_urls", p, ~F.col("url").startswith("https:"), False),
-    ]
-    out = checks[0]
-    for c in checks[1:]:
+    of_documents = {"texts_present": (~text.filled(F.col("text")), True), "sources_present": (~text.filled(F.col("source")), True), "short_texts": (F.col("n_chars") < 100, False)}
+    out = planning.checks(d, of_documents)
+    for c in (planning.checks(o, {"tasks_dated": (F.col("o_orderdate").isNull(), True)}), planning.checks(p, {"secure_urls": (~F.col("url").startswith("https:"), False)})):
         out = out.unionByName(c)
     return out
 
