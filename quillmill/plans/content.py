@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions import dates, render, text, urls
-from quillmill.operators import bodies, crawl, dedupe, extract, outputs, status
+from quillmill.operators import bodies, crawl, dedupe, extract, outputs, status, trees
 from quillmill.plans.oracle import WS, collapsed
 from quillmill.plans.workspace import query, table
 
@@ -209,3 +209,19 @@ def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("extracted").alias("extraction_status"), F.when(i % 3 > 0, F.col("text")).alias("extracted_text"), html.alias("extracted_html"), html.alias("body_html"), F.col("n_chars").alias("word_count"), F.lit(2).alias("chunk_count"), F.when(i % 8 == 1, "up").alias("upload"),
     )
     return bodies.rows(rows, F.lit("now")).select("content_object_id", "pos", "batch", "type", F.replace("text", F.lit(" "), F.lit("")).alias("letters"))
+
+
+# ---- blocks that hold blocks
+
+
+@query("""WITH RECURSIVE b AS MATERIALIZED (SELECT conv_id, turn, CASE WHEN turn = 0 THEN NULL ELSE turn - 1 - length(text) % turn END AS up, CASE role WHEN 'user' THEN 'heading_2' WHEN 'system' THEN 'divider' ELSE 'paragraph' END AS type, trim(text, ' ' || chr(10) || chr(9)) AS text FROM conversations),
+t AS (SELECT conv_id, turn, [turn] AS path FROM b WHERE up IS NULL OR NOT EXISTS (SELECT 1 FROM b x WHERE x.conv_id = b.conv_id AND x.turn = b.up) UNION ALL SELECT b.conv_id, b.turn, list_append(t.path, b.turn) FROM b JOIN t ON b.conv_id = t.conv_id AND b.up = t.turn),
+o AS (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS INTEGER) AS pos, CAST(len(path) - 1 AS INTEGER) AS depth FROM t)
+SELECT o.conv_id AS page_id, o.pos, o.depth, b.type, b.text FROM o JOIN b USING (conv_id, turn) WHERE b.type <> 'divider' AND b.text <> ''""")
+def block_tree_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as blocks of a conversation: each is held by an earlier one, as its length has it."""
+    c, t = table(spark, sf_dir, "conversations"), F.col("turn")
+    kind = F.when(F.col("role") == "user", "heading_2").when(F.col("role") == "system", "divider").otherwise("paragraph")
+    blocks = c.select(F.col("conv_id").alias("page_id"), t.alias("block_id"), F.when(t > 0, t - 1 - F.length("text") % t).alias("parent_id"), t.alias("ord"), kind.alias("type"), "text")
+    ordered = trees.in_order(blocks)
+    return trees.texts(ordered).join(ordered.select("page_id", "pos", "depth"), ["page_id", "pos"]).select("page_id", "pos", "depth", "type", "text")
