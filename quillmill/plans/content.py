@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quillmill.functions import dates, render, text, urls
 from quillmill.operators import bodies, crawl, dedupe, extract, outputs, status, trees
 from quillmill.plans.oracle import WS, collapsed
-from quillmill.plans.workspace import query, table
+from quillmill.plans.workspace import PROGRESS, patches_of, query, table, users_of
+from quillmill.session import work_folder
+from quillmill.streaming import progress
 
 GATE = "You need to enable JavaScript to run this app."
 _EXT = ("txt", "pdf", "docx", "zip", "txt", "pdf")
@@ -225,3 +227,15 @@ def block_tree_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = c.select(F.col("conv_id").alias("page_id"), t.alias("block_id"), F.when(t > 0, t - 1 - F.length("text") % t).alias("parent_id"), t.alias("ord"), kind.alias("type"), "text")
     ordered = trees.in_order(blocks)
     return trees.texts(ordered).join(ordered.select("page_id", "pos", "depth"), ["page_id", "pos"]).select("page_id", "pos", "depth", "type", "text")
+
+
+# ---- progress as a stream
+
+
+@query(f"WITH {PROGRESS.replace('WHERE user_id % 7 > 0', '')} SELECT * FROM progress")
+def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, read as a stream of patches; what the stream has kept when it has read them."""
+    events, root = table(spark, sf_dir, "events"), work_folder(spark)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be one file
+    progress.keep(patches_of(stream), f"{root}/rows", f"{root}/checkpoint").awaitTermination()
+    return progress.snapshot(spark, f"{root}/rows", users_of(events))

@@ -224,18 +224,26 @@ def ordered_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.in_order(n.select(F.col("n_name").alias("course_id")), order).select(F.col("course_id").alias("course_name"), (F.col("pos") + 1).alias("pos"))
 
 
-def _progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as patches to the progress of users; users of even number have a starting row."""
-    e, t = table(spark, sf_dir, "events"), F.col("event_type")
-    patches = e.where(F.col("user_id") % 7 > 0).select(
+def patches_of(events: DataFrame) -> DataFrame:
+    """Events as patches to the progress of users."""
+    t = F.col("event_type")
+    return events.select(
         F.col("user_id").cast("string").alias("course_id"), F.col("event_id").alias("seq"), F.when(t == "error", "error").when(t == "purchase", "completed").when(t == "view", "scanning").alias("status"), F.when(t == "error", "failed to load").alias("message"), F.when(t == "view", F.col("event_id")).alias("pages_visited"),
         *[F.lit(None).cast("long").alias(c) for c in scan.COUNTS[1:-1]], F.when(t == "click", F.lit(1)).alias("ignored_count"),
     )
-    courses = e.where("user_id % 2 = 0").select(F.col("user_id").cast("string").alias("course_id"), F.concat(F.lit("User "), "user_id").alias("course_name")).distinct()
-    return scan.progress(courses, patches)
 
 
-_PROGRESS = """patches AS (SELECT CAST(user_id AS VARCHAR) AS course_id, event_id, event_type AS t FROM events WHERE user_id % 7 > 0),
+def users_of(events: DataFrame) -> DataFrame:
+    """Users of even number, as courses that have a starting row."""
+    return events.where("user_id % 2 = 0").select(F.col("user_id").cast("string").alias("course_id"), F.concat(F.lit("User "), "user_id").alias("course_name")).distinct()
+
+
+def _progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return scan.progress(users_of(e), patches_of(e.where(F.col("user_id") % 7 > 0)))
+
+
+PROGRESS = """patches AS (SELECT CAST(user_id AS VARCHAR) AS course_id, event_id, event_type AS t FROM events WHERE user_id % 7 > 0),
 last AS (SELECT course_id, arg_max(CASE t WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'completed' ELSE 'scanning' END, event_id) FILTER (WHERE t IN ('error', 'purchase', 'view')) AS status, bool_or(t = 'error') AS bad, max(event_id) FILTER (WHERE t = 'view') AS pages, bool_or(t = 'click') AS clicked FROM patches GROUP BY course_id),
 progress AS (
   SELECT coalesce(c.course_id, l.course_id) AS course_id, CASE WHEN c.course_id IS NULL THEN l.course_id ELSE 'User ' || c.course_id END AS course_name, coalesce(l.status, 'queued') AS status, CASE WHEN l.bad THEN 'failed to load' ELSE 'Queued' END AS message, CAST(coalesce(l.pages, 0) AS BIGINT) AS pages_visited,
@@ -243,12 +251,12 @@ progress AS (
   FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS course_id FROM events WHERE user_id % 2 = 0) c FULL JOIN last l ON c.course_id = l.course_id)"""
 
 
-@query(f"WITH {_PROGRESS} SELECT * FROM progress")
+@query(f"WITH {PROGRESS} SELECT * FROM progress")
 def scan_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _progress(spark, sf_dir)
 
 
-@query(f"""WITH {_PROGRESS}, sums AS (SELECT count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'error') AS failed, count(*) FILTER (WHERE status IN ('queued', 'scanning')) AS waiting, CAST(sum(pages_visited) AS BIGINT) AS pages_visited, CAST(0 AS BIGINT) AS document_count,
+@query(f"""WITH {PROGRESS}, sums AS (SELECT count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'error') AS failed, count(*) FILTER (WHERE status IN ('queued', 'scanning')) AS waiting, CAST(sum(pages_visited) AS BIGINT) AS pages_visited, CAST(0 AS BIGINT) AS document_count,
   CAST(0 AS BIGINT) AS duplicate_count, CAST(0 AS BIGINT) AS downloadable_count, CAST(0 AS BIGINT) AS external_count, CAST(sum(ignored_count) AS BIGINT) AS ignored_count FROM progress)
 SELECT *, completed + failed AS courses_scanned, CASE WHEN completed = 0 AND failed > 0 THEN 'error' WHEN waiting > 0 THEN 'scanning' ELSE 'completed' END AS status FROM sums""")
 def scan_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
