@@ -71,7 +71,7 @@ def documents_of_courses(documents: DataFrame) -> DataFrame:
 
 
 def by_section(documents: DataFrame, priority: Column) -> DataFrame:
-    """Documents in order of course name, section and title, with the number of each in its course and section."""
+    """Documents with the place of their section among sections and their number, by title, in their course and section."""
     w = Window.partitionBy("course_id", "source_section").orderBy("title", "seq")
     return documents.withColumn("place", priority).withColumn("nth", F.row_number().over(w))
 

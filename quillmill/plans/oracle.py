@@ -196,3 +196,5 @@ SELECT count(*) AS total_records, count(*) FILTER (WHERE a = 'text') AS records_
   UNION ALL SELECT 'secure_urls', count(*), count(*) FILTER (WHERE NOT starts_with(url, 'https:')), CASE WHEN count(*) FILTER (WHERE NOT starts_with(url, 'https:')) = 0 THEN 'ok' ELSE 'warning' END FROM pages""",
     "progress_totals": "SELECT CAST(sum(n) AS BIGINT) AS pages, CAST(sum(errors) AS BIGINT) AS errors, count(*) FILTER (WHERE errors > 0) AS with_errors, count(*) AS courses FROM (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY user_id)",
 }
+SQL["manifest_of_version_1"] = SQL["inventory_union"]
+SQL["manifest_document_lists"] = "SELECT source AS course_id, CAST(doc_id // 1000 AS BIGINT) AS part, count(*) AS n, md5(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS ids FROM documents GROUP BY ALL"

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions import dates, text, urls
-from quillmill.operators import chunking, crawl, dedupe, digests, extraction, inventory, links, planning, runs, sync
+from quillmill.operators import chunking, crawl, dedupe, digests, extraction, inventory, links, manifest, planning, runs, sync
 from quillmill.plans import content, workspace  # noqa: F401  content adds to workspace's queries
 from quillmill.plans.oracle import SQL
+from quillmill.session import work_folder
 from quillmill.sources import html
 from quillmill.sources import page_facts as facts_of
 
@@ -140,6 +141,23 @@ def inventory_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _inventory(spark, sf_dir).groupBy("content_type", "content_path_type", "extraction_status", "supported_extraction").agg(F.count("*").alias("n"))
 
 
+def _manifest(spark: SparkSession, sf_dir: str, version: int) -> manifest.Tables:
+    """Courses, pages and files as a manifest of that version, written and read again."""
+    root = work_folder(spark)
+    tables = {"courses": _courses(spark, sf_dir), "documents": _files(spark, sf_dir), "content_items": _items(spark, sf_dir)}
+    manifest.write(tables if version == 1 else manifest.current(tables, 1), root, NOW, version)
+    return manifest.read(spark, root)
+
+
+def manifest_of_version_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory that an old manifest gets on reading."""
+    return _manifest(spark, sf_dir, 1)["inventory"].groupBy("content_type", "content_path_type", "extraction_status", "supported_extraction").agg(F.count("*").alias("n"))
+
+
+def manifest_document_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _manifest(spark, sf_dir, 3)["documents_by_course"].select("course_id", "part", "n", F.md5(F.array_join("ids", ",")).alias("ids"))
+
+
 def inventory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.summary(_inventory(spark, sf_dir))
 
@@ -426,7 +444,7 @@ def progress_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = (
-    weekly_tasks_by_course, urgent_tasks, refs_union_all_dups, metadata_gaps_top20, rolling_7d_events, custom_window_events, content_counts_by_course_type, content_overview, content_bullets, content_overview_rollup, inventory_union,
+    weekly_tasks_by_course, urgent_tasks, refs_union_all_dups, metadata_gaps_top20, rolling_7d_events, custom_window_events, content_counts_by_course_type, content_overview, content_bullets, content_overview_rollup, inventory_union, manifest_of_version_1, manifest_document_lists,
     inventory_summary, extraction_left_merge, extraction_summary_counts, queue_recovery, enqueue_outcomes, history_top80, extraction_descriptors, course_semi_filter, visited_anti, latest_run_per_automation, run_log_top30,
     canonical_urls, url_dedupe, url_parts_classify, text_metrics, stable_hash_docs, js_gate_filter, doc_content_dedupe, merge_longest_wins, document_dedupe, token_topk_by_course, token_topk_of_content, phrase_topk_by_course, phrase_topk_of_content, chunks, chunk_counts,
     heading_trail, page_blocks, page_block_rows, page_links, page_facts, page_file_names, dashboard_courses, page_link_counts, page_link_kinds, course_recaps, course_recap_seed, frontier_scan, sync_actions, sync_second_run, definition_overlay, plan_summary, contract_summary, readiness_counts, readiness_level, validation_checks, progress_totals,
