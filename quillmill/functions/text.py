@@ -123,6 +123,11 @@ def escape_html(c: Column) -> Column:
     return out
 
 
+def minified_html(c: Column) -> Column:
+    """Without white space between elements, other white space runs as one space."""
+    return collapse(F.regexp_replace(F.coalesce(c, F.lit("")), f">{SPACE}+<", "><"))
+
+
 def phrase(c: Column) -> Column:
     """Lower case; all but a-z, 0-9 and white space becomes a space."""
     lowered = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"(?!{SPACE})[^a-z0-9]", " ")

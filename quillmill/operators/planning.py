@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import filled, text, text_or
+from quillmill.functions.text import filled, one_of, text, text_or
 from quillmill.operators.inventory import eligible
 
 _CONTENT = ("canvas_page", "assignment", "syllabus", "module_resource", "external_resource", "file_artifact", "text_extract")
@@ -93,6 +93,32 @@ def contract_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: what a stored plan may say
+MODES = ("general", "class_specific")
+LEVELS = ("metadata_only", "content_ready", "automation_ready_partial")
+
+
+def stored_plans(raw: DataFrame) -> DataFrame:
+    """Plans in one form, whatever was stored: texts trimmed (null if empty), modes and levels closed, empty warnings and reasons gone. Columns
+    that are missing get their defaults; others stay."""
+    have = lambda c, t: F.col(c) if c in raw.columns else F.lit(None).cast(t)
+    blank = lambda c: F.nullif(text(have(c, "string")), F.lit(""))
+    some = lambda c: F.filter(F.coalesce(have(c, "array<string>"), F.array().cast("array<string>")), filled)
+    own = {
+        "plan_id": blank("plan_id"), "generated_at": blank("generated_at"), "workspace_mode": one_of(text(have("workspace_mode", "string")), MODES, "general"), "readiness_level": one_of(text(have("readiness_level", "string")), LEVELS, "metadata_only"),
+        "warnings": some("warnings"), "blocked_reasons": some("blocked_reasons"),
+    }
+    return raw.select(*[c for c in raw.columns if c not in own], *[c.alias(n) for n, c in own.items()])
+
+
+def stored_mappings(raw: DataFrame) -> DataFrame:
+    """Mappings to a workspace in one form: its page, mode and time, and the ids of its five databases, null where there is none."""
+    have = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
+    own = {"destination_page_id": text(have("destination_page_id")), "workspace_mode": one_of(text(have("workspace_mode")), MODES, "general"), "updated_at": F.nullif(text(have("updated_at")), F.lit(""))}
+    own |= {c: F.nullif(have(c), F.lit("")) for c in ("courses", "content", "deliverables", "study_assets", "automation_outputs")}
+    return raw.select(*[c for c in raw.columns if c not in own], *[c.alias(n) for n, c in own.items()])
+
+
 def check(name: str, df: DataFrame, bad: Column, blocking: bool) -> DataFrame:
     """One row of a check: ok, warning or blocked, by how many rows are bad."""
     return df.agg(F.count("*").alias("rows"), F.count_if(F.coalesce(bad, F.lit(False))).alias("bad")).select(F.lit(name).alias("check"), "rows", "bad", F.when(F.col("bad") == 0, "ok").otherwise("blocked" if blocking else "warning").alias("status"))

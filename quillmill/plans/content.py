@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions import dates, render, text, urls
-from quillmill.operators import bodies, crawl, dedupe, extract, outputs, status, trees
+from quillmill.operators import bodies, crawl, dedupe, extract, outputs, planning, status, trees
 from quillmill.plans.oracle import WS, collapsed
 from quillmill.plans.workspace import PROGRESS, patches_of, query, table, users_of
 from quillmill.session import work_folder
@@ -239,3 +239,23 @@ def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be one file
     progress.keep(patches_of(stream), f"{root}/rows", f"{root}/checkpoint").awaitTermination()
     return progress.snapshot(spark, f"{root}/rows", users_of(events))
+
+
+# ---- minified pages, stored plans and mappings
+
+
+@query(f"SELECT page_id, md5(t) AS html, CAST(length(t) AS INTEGER) AS chars FROM (SELECT page_id, {collapsed(f"regexp_replace(html, '>{WS}+<', '><', 'g')")} AS t FROM pages)")
+def minified_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", text.minified_html(F.col("html")).alias("t"))
+    return p.select("page_id", F.md5("t").alias("html"), F.length("t").alias("chars"))
+
+
+@query("""SELECT c_custkey, nullif(trim(c_name), '') AS plan_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'class_specific' ELSE 'general' END AS workspace_mode, CASE WHEN c_acctbal < 0 THEN 'content_ready' ELSE 'metadata_only' END AS readiness_level, c_mktsegment AS warnings,
+  '' AS blocked_reasons, c_name AS destination_page_id, CASE WHEN c_acctbal < 0 THEN c_name END AS content FROM customer""")
+def stored_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as stored plans and mappings: segments as modes, most of which are unknown."""
+    c, name = table(spark, sf_dir, "customer"), F.col("c_name")
+    raw = c.select("c_custkey", F.concat(F.lit(" "), name).alias("plan_id"), F.when(F.col("c_mktsegment") == "BUILDING", "class_specific").otherwise(F.col("c_mktsegment")).alias("workspace_mode"), F.when(F.col("c_acctbal") < 0, "content_ready").otherwise("?").alias("readiness_level"), F.array(F.lit(""), F.col("c_mktsegment"), F.lit(None)).alias("warnings"))
+    maps = c.select("c_custkey", F.concat(name, F.lit("\n")).alias("destination_page_id"), F.when(F.col("c_acctbal") < 0, name).otherwise("").alias("content"))
+    plans = planning.stored_plans(raw).select("c_custkey", "plan_id", "workspace_mode", "readiness_level", F.array_join("warnings", "|").alias("warnings"), F.array_join("blocked_reasons", "|").alias("blocked_reasons"))
+    return plans.join(planning.stored_mappings(maps).select("c_custkey", "destination_page_id", "content"), "c_custkey")

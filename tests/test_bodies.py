@@ -43,3 +43,11 @@ def test_checks_in_one_scan(spark):
     out = planning.checks(df, {"texts": (F.coalesce("t", F.lit("")) == "", True), "odd": (F.col("k") % 2 == 1, False), "fine": (F.col("k") > 9, True)})
     assert sorted(tuple(r) for r in out.collect()) == [("fine", 3, 0, "ok"), ("odd", 3, 2, "warning"), ("texts", 3, 2, "blocked")]
     assert sorted(tuple(r) for r in planning.checks(df.limit(0), {"texts": (F.col("t") == "", True)}).collect()) == [("texts", 0, 0, "ok")]
+
+
+def test_stored_plans_and_mappings(spark):
+    raw = spark.createDataFrame([(" p ", "class_specific", "?", ["", "w", None]), ("", None, "content_ready", None)], "plan_id string, workspace_mode string, readiness_level string, warnings array<string>")
+    got = [tuple(r) for r in planning.stored_plans(raw).collect()]
+    assert got == [("p", None, "class_specific", "metadata_only", ["w"], []), (None, None, "general", "content_ready", [], [])]
+    maps = spark.createDataFrame([(1, " x ", None, "", "db")], "k int, destination_page_id string, workspace_mode string, updated_at string, courses string")
+    assert tuple(planning.stored_mappings(maps).first()) == (1, "x", "general", None, "db", None, None, None, None)
