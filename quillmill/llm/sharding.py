@@ -48,7 +48,8 @@ def _range_of(bounds: list[tuple[int, int, int]]) -> Column:
     if not bounds:
         return F.lit(0)
     steps = len(bounds).bit_length()
-    keys = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(_KEY, b)]) for b in bounds])
+    entries = (", ".join(f"'{n}', {v}L" for n, v in zip(_KEY, b)) for b in bounds)
+    keys = F.expr(f"array({', '.join(f'named_struct({e})' for e in entries)})")  # as text: a call for each number would take seconds
     row = F.struct(*[F.col(n) for n in _KEY])
 
     def step(lo: Column, jump: Column) -> Column:
