@@ -1,9 +1,9 @@
 """Hard negatives of anchors, by block products of the score matrix anchors x rows.
 
 Every component x becomes floor(scale * x), and scores are inner products of these whole numbers. The matrix is computed as
-SUMMA does it (van de Geijn and Watts, 1997): anchors are dealt into block rows, all rows into block columns, and
-dimensions into chunks. A task multiplies one block row by one block column over one chunk of dimensions, and the shuffle brings
-the chunks' partial tiles of 64-bit integers together, which are added up. A tile keeps only the best of each anchor:
+SUMMA does it (van de Geijn and Watts, 1997): anchors are dealt into block rows, all rows into block columns, and the tile
+of a block row and a block column stays where it is: its task adds up the products of one panel of dimensions after the other, in
+stripes of a bounded size. Tiles are never shuffled; a tile keeps only the best of each anchor:
 
 1. The positives, from tiles within a label: each anchor's best rows of its label. Labels that fill blocks of their own have
    them; smaller labels share blocks by hash.
@@ -11,8 +11,9 @@ the chunks' partial tiles of 64-bit integers together, which are added up. A til
    window that the positive's score sets.
 
 The best of all tiles are merged. No tile is larger than about A_BLOCK x BLOCK, whatever a label's or the table's size; an anchor block
-travels to every block column, and the other way round. Work and partial tiles are in proportion to anchors x
-rows, as an exact answer over all rows demands: 16 bytes a pair are shuffled for vectors of 64 dimensions, before compression.
+travels to every block column, and the other way round, in the smallest whole numbers that hold the components. Work is in proportion to
+anchors x rows, as an exact answer over all rows demands; what is shuffled is, per row, its vector for every A_BLOCK anchors, and per anchor
+its vector and its best for every BLOCK rows.
 
 Defined cases: rows with a null id, a null label, or a vector that is null or holds null or non-finite components take no part; of rows that
 repeat an id the one with the smallest label, then vector, does; only vectors of one length compare, empty ones with
@@ -23,6 +24,8 @@ gives an empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,17 +34,11 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import broadcast_if_small, stored
 from quillmill.llm.vector_codes import finite
 
-#: Rows of a block column, anchors of a block row, dimensions of a chunk.
-BLOCK, A_BLOCK, CHUNK = 2048, 512, 32
-_TILE = "dims int, a string, b string, chunk int, a_ids binary, a_labels binary, b_ids binary, b_labels binary, windows binary, tile binary"
-_KEY = ["dims", "a", "b", "chunk"]
-
-
-def _sides(rows: DataFrame, chunk: int) -> DataFrame:
-    """A row for each chunk of a row's dimensions; a vector without any has one empty chunk."""
-    last = F.floor(F.greatest(F.col("dims") - 1, F.lit(0)) / chunk).cast("int")
-    each = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), last)))
-    return each.withColumn("v", F.slice("v", F.col("chunk") * chunk + 1, F.lit(chunk)))
+#: Rows of a block column, anchors of a block row, dimensions of a panel.
+BLOCK, A_BLOCK, CHUNK = 32768, 8192, 64
+#: Rows below which a block is not divided for the sake of more tasks; components of a block; scores of a stripe.
+LEAST, VALUES, STRIPE = 2048, 1 << 22, 1 << 21
+_KEY = ["dims", "a", "b"]
 
 
 def _matrix(side: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,35 +55,14 @@ def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x @ y.T).astype(np.int64) if most < 2.0**53 else x.astype(np.int64) @ y.astype(np.int64).T
 
 
-def _partial(left: pa.Table, right: pa.Table) -> pa.Table:
-    """One partial tile. Ids, labels and windows go with that of the first chunk."""
-    names = [f.strip().split(" ")[0] for f in _TILE.split(",")]
-    key = [left.column(c).slice(0, 1) for c in _KEY] if left.num_rows else []
-    if not left.num_rows or not right.num_rows:
-        return pa.table([pa.array([], t) for t in (pa.int32(), pa.string(), pa.string(), pa.int32(), *[pa.binary()] * 6)], names=names)
-    (a, la, x), (b, lb, y) = _matrix(left), _matrix(right)
-    head = [None] * 5
-    if left.column("chunk")[0].as_py() == 0:
-        head = [z.astype("<i8").tobytes() for z in (a, la, b, lb)]
-        w = left.column("windows").combine_chunks() if "windows" in left.column_names else None
-        if w is not None:
-            order = np.argsort(left.column("id").to_numpy(), kind="stable")
-            count = w.value_lengths().to_numpy()[order]
-            pairs = w.take(pa.array(order)).flatten()
-            head.append(np.r_[count, pairs.field("id").to_numpy(), pairs.field("score").to_numpy()].astype("<i8").tobytes())
-        else:
-            head.append(None)
-    return pa.table([*key, *[pa.array([z], pa.binary()) for z in (*head, product(x, y).astype("<i8").tobytes())]], names=names)
-
-
-def _whole(parts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes | None, np.ndarray]:
-    """Adds up the partial tiles of a tile."""
-    first = parts.column("chunk").to_pylist().index(0)
-    a, la, b, lb = (np.frombuffer(parts.column(c)[first].as_py(), "<i8") for c in ("a_ids", "a_labels", "b_ids", "b_labels"))
-    score = np.zeros((len(a), len(b)), np.int64)
-    for t in parts.column("tile"):
-        score += np.frombuffer(t.as_buffer(), "<i8").reshape(score.shape)
-    return a, la, b, lb, parts.column("windows")[first].as_py(), score
+def _stripes(a: np.ndarray, x: np.ndarray, y: np.ndarray, chunk: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The tile of x and y, a few anchors at a time: (anchor, its scores). The panels' products are added up in place."""
+    step = max(1, STRIPE // max(1, len(y)))
+    for at in range(0, len(a), step):
+        score = product(x[at : at + step, :chunk], y[:, :chunk])
+        for k in range(chunk, x.shape[1], chunk):
+            score += product(x[at : at + step, k : k + chunk], y[:, k : k + chunk])
+        yield from enumerate(score, at)
 
 
 def _best(score: np.ndarray, ids: np.ndarray, among: np.ndarray, k: int) -> np.ndarray:
@@ -97,34 +73,42 @@ def _best(score: np.ndarray, ids: np.ndarray, among: np.ndarray, k: int) -> np.n
     return among[np.lexsort((ids[among], -score[among]))[:k]]
 
 
-def _positives(parts: pa.Table, k: int) -> pa.Table:
-    a, la, b, lb, _, score = _whole(parts)
-    out = [np.empty((3, 0), np.int64)]
-    for i in range(len(a)):
-        best = _best(score[i], b, np.flatnonzero((lb == la[i]) & (b != a[i])), k)
-        out.append(np.array([np.full(len(best), a[i]), b[best], score[i][best]]))
-    return pa.table(list(np.concatenate(out, axis=1)), names=["anchor", "id", "score"])
+def _table(out: list[np.ndarray], names: list[str]) -> pa.Table:
+    return pa.table(list(np.concatenate([np.empty((len(names), 0), np.int64), *out], axis=1)), names=names)
+
+
+def _positives(left: pa.Table, right: pa.Table, k: int, chunk: int) -> pa.Table:
+    out = []
+    if left.num_rows and right.num_rows:
+        (a, la, x), (b, lb, y) = _matrix(left), _matrix(right)
+        for i, score in _stripes(a, x, y, chunk):
+            best = _best(score, b, np.flatnonzero((lb == la[i]) & (b != a[i])), k)
+            out.append(np.array([np.full(len(best), a[i]), b[best], score[best]]))
+    return _table(out, ["anchor", "id", "score"])
 
 
-def _negatives(parts: pa.Table, k: int, low: int, high: int) -> pa.Table:
-    a, la, b, lb, windows, score = _whole(parts)
-    w = np.frombuffer(windows, "<i8")
-    count, (ids, scores) = w[: len(a)], w[len(a) :].reshape(2, -1)
-    ends = np.cumsum(count)
-    out = [np.empty((5, 0), np.int64)]
-    for i, (end, n) in enumerate(zip(ends.tolist(), count.tolist())):
-        own = [(p, s, -(-s * low // 100), s * high // 100) for p, s in zip(ids[end - n : end].tolist(), scores[end - n : end].tolist())]
-        among = np.flatnonzero((lb != la[i]) & (score[i] >= min(x[2] for x in own)) & (score[i] <= max(x[3] for x in own)))
-        for p, s, least, most in own:
-            best = _best(score[i], b, among[(score[i][among] >= least) & (score[i][among] <= most)], k)
-            out.append(np.array([np.full(len(best), a[i]), np.full(len(best), p), np.full(len(best), s), b[best], score[i][best]]))
-    return pa.table(list(np.concatenate(out, axis=1)), names=["anchor", "positive", "positive_score", "id", "score"])
+def _negatives(left: pa.Table, right: pa.Table, k: int, low: int, high: int, chunk: int) -> pa.Table:
+    out = []
+    if left.num_rows and right.num_rows:
+        (a, la, x), (b, lb, y) = _matrix(left), _matrix(right)
+        order = np.argsort(left.column("id").to_numpy(), kind="stable")
+        windows = left.column("windows").combine_chunks().take(pa.array(order))
+        pairs = windows.flatten()
+        ends, ids, scores = np.cumsum(windows.value_lengths().to_numpy()).tolist(), pairs.field("id").to_pylist(), pairs.field("score").to_pylist()
+        for i, score in _stripes(a, x, y, chunk):
+            begin = ends[i - 1] if i else 0
+            own = [(p, s, -(-s * low // 100), s * high // 100) for p, s in zip(ids[begin : ends[i]], scores[begin : ends[i]])]
+            among = np.flatnonzero((lb != la[i]) & (score >= min(w[2] for w in own)) & (score <= max(w[3] for w in own)))
+            for p, s, least, most in own:
+                best = _best(score, b, among[(score[among] >= least) & (score[among] <= most)], k)
+                out.append(np.array([np.full(len(best), a[i]), np.full(len(best), p), np.full(len(best), s), b[best], score[best]]))
+    return _table(out, ["anchor", "positive", "positive_score", "id", "score"])
 
 
-def _tiles(left: DataFrame, right: DataFrame, chunk: int) -> DataFrame:
-    """Partial tiles of two sides that carry (dims, a, b) already."""
-    left, right = (x.toDF(*x.columns) for x in (_sides(left, chunk), _sides(right, chunk)))  # of one table: columns of their own
-    return left.groupBy(*_KEY).cogroup(right.groupBy(*_KEY)).applyInArrow(_partial, _TILE)
+def _tiles(left: DataFrame, right: DataFrame, best: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """The best of each tile of two sides that carry (dims, a, b)."""
+    left, right = (x.toDF(*x.columns) for x in (left, right))  # of one table: columns of their own
+    return left.groupBy(*_KEY).cogroup(right.groupBy(*_KEY)).applyInArrow(best, schema)
 
 
 def _deal(n: Column, seed: int) -> Column:
@@ -135,8 +119,8 @@ def _every(n: Column) -> Column:
     return F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda x: x.cast("string")))
 
 
-def _within_labels(rows: DataFrame, block: int, a_block: int, chunk: int) -> DataFrame:
-    """Partial tiles of anchors and rows of the same label (or of small labels that share a block)."""
+def _within_labels(rows: DataFrame, block: int, a_block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the tiles of anchors and rows of the same label (or of small labels that share a block)."""
     n = F.col("n")
     counts = stored(rows.groupBy("dims", F.col("label").alias("l")).agg(F.count("*").alias("n"), F.count(F.when(F.col("anchor"), 1)).alias("n_a")))
     small = counts.where(n < block).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_a"), F.lit(0)).alias("n_a")).first()
@@ -150,7 +134,7 @@ def _within_labels(rows: DataFrame, block: int, a_block: int, chunk: int) -> Dat
     name = lambda x: F.concat_ws(" ", "home", x.cast("string"))
     left = at.where("anchor").select("id", "label", "v", "dims", name(_deal(F.col("block_rows"), 1)).alias("a"), "home", _every(F.col("columns")).alias("column"))
     right = at.select("id", "label", "v", "dims", name(_deal(F.col("columns"), 2)).alias("b"), "home", _every(F.col("block_rows")).alias("row"))
-    return _tiles(left.select("id", "label", "v", "dims", "a", name(F.col("column")).alias("b")), right.select("id", "label", "v", "dims", name(F.col("row")).alias("a"), "b"), chunk)
+    return left.select("id", "label", "v", "dims", "a", name(F.col("column")).alias("b")), right.select("id", "label", "v", "dims", name(F.col("row")).alias("a"), "b")
 
 
 def mine(
@@ -168,14 +152,19 @@ def mine(
     size = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("anchor"), 1)).alias("n_a"), F.coalesce(F.max(F.array_max(F.transform("v", F.abs))), F.lit(0)).alias("most"), F.coalesce(F.max("dims"), F.lit(0)).alias("dims")).first()
     if size.most**2 * max(1, size.dims) * max(1, high) >= 1 << 63:
         raise ValueError("scores of such large components do not fit 64 bits")
-    near = _within_labels(rows, block, a_block, chunk).groupBy("dims", "a", "b").applyInArrow(lambda parts: _positives(parts, positives), "anchor long, id long, score long")
+    small = next(t for t, bits in (("smallint", 15), ("int", 31), ("bigint", 63)) if size.most < 1 << bits)
+    rows = rows.withColumn("v", F.col("v").cast(f"array<{small}>"))
+    fits = max(1, VALUES // max(1, size.dims))
+    block = min(block, fits, max(LEAST, -(-size.n // rows.sparkSession.sparkContext.defaultParallelism)))
+    a_block = min(a_block, fits)
+    near = _tiles(*_within_labels(rows, block, a_block), lambda a, b: _positives(a, b, positives, chunk), "anchor long, id long, score long")
     nth = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("score"), "id"))
     windows = stored(near.withColumn("nth", nth).where(F.col("nth") <= positives).groupBy("anchor").agg(F.collect_list(F.struct("id", "score")).alias("windows")))
     block_rows, columns = (F.lit(max(1, -(-a // b))).cast("long") for a, b in ((size.n_a, a_block), (size.n, block)))
     anchors = rows.where("anchor").join(windows.withColumnRenamed("anchor", "of"), F.col("id") == F.col("of"))
     left = anchors.select("id", "label", "v", "dims", "windows", _deal(block_rows, 1).cast("string").alias("a"), _every(columns).alias("b"))
     right = rows.select("id", "label", "v", "dims", _every(block_rows).alias("a"), _deal(columns, 2).cast("string").alias("b"))
-    far = _tiles(left, right, chunk).groupBy("dims", "a", "b").applyInArrow(lambda parts: _negatives(parts, negatives, low, high), "anchor long, positive long, positive_score long, id long, score long")
+    far = _tiles(left, right, lambda a, b: _negatives(a, b, negatives, low, high, chunk), "anchor long, positive long, positive_score long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("anchor", "positive").orderBy(F.desc("score"), "id"))
     return far.withColumn("rank", rank).where(F.col("rank") <= negatives).select(
         F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")

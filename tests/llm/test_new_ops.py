@@ -181,6 +181,22 @@ def test_negatives_are_those_of_brute_force(spark, block, a_block, chunk):
     assert hard_negatives.mine(df.limit(0), F.lit(True), F.col("label")).count() == 0
 
 
+def test_tiles_are_not_shuffled(spark):
+    """What is shuffled grows with the rows, not with anchors x rows: here a million scores would be 8 MB."""
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def written() -> int:
+        bus.waitUntilEmpty()
+        each = store.executorList(False)
+        return sum(each.apply(i).totalShuffleWrite() for i in range(each.size()))
+
+    x = np.random.default_rng(3).standard_normal((2000, 64))
+    df = spark.createDataFrame([(i, i % 10, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    before = written()
+    assert hard_negatives.mine(df, F.expr("vec_id % 4 = 0"), F.col("label")).count() > 1000
+    assert written() - before < 4_000_000
+
+
 def test_products_are_exact():
     big = np.full((2, 3), float(1 << 27))
     assert hard_negatives.product(big, big).tolist() == [[3 << 54] * 2] * 2
