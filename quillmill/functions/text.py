@@ -6,13 +6,14 @@ and \\s cover, so one explicit class is used throughout.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from quillmill.functions.slices import sliced
 
 # fixed values: the characters that count as white space
 SPACES = "\t\n\x0b\x0c\r                  　﻿"
@@ -70,12 +71,12 @@ def units(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
-def _hashed(texts: pd.Series) -> pd.Series:
-    """All texts of a batch at once: each UTF-16 unit times its power of 31, summed per text in wrapping 32 bits."""
-    coded = [t.encode("utf-16-le", "surrogatepass") for t in texts]
+def _hashed(texts: pa.Array) -> pa.Array:
+    """All texts of a slice at once: each UTF-16 unit times its power of 31, summed per text in wrapping 32 bits."""
+    coded = [t.encode("utf-16-le", "surrogatepass") for t in texts.to_pylist()]
     n = np.array([len(c) // 2 for c in coded], np.int64)
     if not n.sum():
-        return pd.Series(["h0"] * len(n))
+        return pa.array(["h0"] * len(n), pa.string())
     powers = np.full(n.max(), 31, np.uint32)
     powers[0] = 1
     powers = np.cumprod(powers, dtype=np.uint32)
@@ -83,12 +84,17 @@ def _hashed(texts: pd.Series) -> pd.Series:
     left = np.repeat(np.cumsum(n), n) - np.arange(len(units16)) - 1  # units after each one in its text
     total, filled_ = np.zeros(len(n), np.uint32), n > 0
     total[filled_] = np.add.reduceat(units16 * powers[left], (np.cumsum(n) - n)[filled_])
-    return pd.Series([f"h{abs(x)}" for x in total.view(np.int32).astype(np.int64).tolist()])
+    return pa.array([f"h{abs(x)}" for x in total.view(np.int32).astype(np.int64).tolist()], pa.string())
 
 
 def stable_hash(c: Column) -> Column:
     """h and the absolute value of a 31-based rolling hash over UTF-16 units, wrapped to 32 bits."""
-    return F.pandas_udf(_hashed, StringType())(F.coalesce(c, F.lit("")))
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return sliced(((b,) for b in batches), _hashed)
+
+    return run(F.coalesce(c, F.lit("")))
 
 
 def is_script_gate(c: Column) -> Column:

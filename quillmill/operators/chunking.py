@@ -7,10 +7,13 @@ Lengths are in characters, which are UTF-16 units for texts of the basic plane.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.functions.slices import sliced
 from quillmill.functions.text import SPACES, collapse, filled, let, plain_text, stable_hash, text
 
 SIZE, OVERLAP, LEAST = 2200, 250, 600
@@ -87,14 +90,17 @@ def chunk_array(blocks: Column, fallback: Column, size: int = SIZE, overlap: int
     size = max(LEAST, size or SIZE)
     overlap = max(0, min(size // 2, overlap or OVERLAP))
 
-    @F.arrow_udf("array<struct<chunk_text:string,heading_context:string>>")
-    def run(own: pa.Array, texts: pa.Array) -> pa.Array:
+    def work(own: pa.Array, texts: pa.Array) -> pa.Array:
         out = []
         for b, t in zip(own.to_pylist(), texts.to_pylist()):
             packed = _pack(_units(b or [], size) or [(p, "") for p in _split(t or "", size)], size, overlap)
             out.append([("\n\n".join(x for x, _ in c), next((h for _, h in c if h), "")) for c in packed])
         return pa.array([[{"chunk_text": x, "heading_context": h} for x, h in c] for c in out], _CHUNKS)
 
+    @F.arrow_udf("array<struct<chunk_text:string,heading_context:string>>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return sliced(batches, work)
+
     return run(blocks, fallback)
 
 

@@ -7,11 +7,14 @@ read fails by itself. Only PDF items are shuffled, as they come as rows of their
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import render
+from quillmill.functions.slices import sliced
 from quillmill.functions.text import is_script_gate, text, text_or, units, word_count
 from quillmill.operators import chunking, extraction, jobs, pdf
 from quillmill.sources import docx, html
@@ -44,11 +47,14 @@ def _parse(page: str | None, file: bytes | None, title: str | None) -> tuple[lis
 
 
 def _parsed(page: Column, file: Column, title: Column) -> Column:
-    @F.arrow_udf(_PARSED_SQL)
-    def run(pages: pa.Array, files: pa.Array, titles: pa.Array) -> pa.Array:
+    def work(pages: pa.Array, files: pa.Array, titles: pa.Array) -> pa.Array:
         out = [_parse(*x) for x in zip(pages.to_pylist(), files.to_pylist(), titles.to_pylist())]
         return pa.array([None if x is None else dict(zip(("blocks", "text", "error"), x)) for x in out], _PARSED)
 
+    @F.arrow_udf(_PARSED_SQL)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return sliced(batches, work)
+
     return run(page, file, title)
 
 

@@ -11,12 +11,14 @@ last element of its parent). Null pages have no nodes but the root.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.functions.slices import sliced
 from quillmill.functions.text import collapse, filled
 from quillmill.sources.html import Node, tree
 
@@ -53,10 +55,13 @@ def _numbered(html: str | None, url: str | None) -> list[dict]:
 def node_rows(pages: DataFrame, *keep: str) -> DataFrame:
     """Of pages (page_id, url, html): a row per node: page_id, start, end, parent, tag, attrs, text, and the columns in `keep`."""
 
-    @F.arrow_udf(NODES)
-    def run(html: pa.Array, url: pa.Array) -> pa.Array:
+    def work(html: pa.Array, url: pa.Array) -> pa.Array:
         return pa.array([_numbered(h, u) for h, u in zip(html.to_pylist(), url.to_pylist())], _NODES)
 
+    @F.arrow_udf(NODES)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return sliced(batches, work)
+
     return pages.select("page_id", *keep, F.explode(run(F.col("html"), F.col("url"))).alias("n")).select("page_id", *keep, "n.*")
 
 
