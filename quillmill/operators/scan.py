@@ -59,11 +59,12 @@ def outcome(rows: DataFrame) -> DataFrame:
     return counts.withColumn("courses_scanned", F.col("completed") + F.col("failed")).withColumn("status", done)
 
 
-def page_results(rows: DataFrame, context: DataFrame) -> tuple[DataFrame, DataFrame]:
+def page_results(rows: DataFrame, context: DataFrame, by: tuple[str, ...] = ("page_url",)) -> tuple[DataFrame, DataFrame]:
     """rows: (page_url, ok, error, course_id, course_name, title). Good pages with the course of their context (page_url, course_id,
-    course_name) where they name none themselves, and bad ones with their message."""
-    c = context.select("page_url", F.col("course_id").alias("__id"), F.col("course_name").alias("__name"))
-    good = rows.where(F.coalesce("ok", F.lit(False))).join(c, "page_url", "left").withColumn("course_id", text_or("course_id", "__id")).withColumn("course_name", text_or("course_name", "__name")).drop("__id", "__name", "ok", "error")
+    course_name) where they name none themselves, and bad ones with their message. by: the columns that tell which context is whose,
+    where URLs come again. A row stays one row: of several contexts with the same `by` the one with the smallest course id counts."""
+    c = context.groupBy(*by).agg(F.min(F.struct("course_id", "course_name")).alias("__c")).select(*by, F.col("__c.course_id").alias("__id"), F.col("__c.course_name").alias("__name"))
+    good = rows.where(F.coalesce("ok", F.lit(False))).join(c, list(by), "left").withColumn("course_id", text_or("course_id", "__id")).withColumn("course_name", text_or("course_name", "__name")).drop("__id", "__name", "ok", "error")
     bad = rows.where(~F.coalesce("ok", F.lit(False))).select("page_url", text_or("error", F.lit("Unknown page scan failure.")).alias("error"))
     return good, bad
 

@@ -267,9 +267,9 @@ def scan_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT url, NULL, CASE WHEN page_id % 8 = 0 THEN 'timeout' ELSE 'Unknown page scan failure.' END FROM pages WHERE page_id % 4 = 0""")
 def page_scan_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, k = table(spark, sf_dir, "pages"), F.col("page_id")
-    rows = p.select(F.col("url").alias("page_url"), (k % 4 > 0).alias("ok"), F.when(k % 8 == 0, "timeout").otherwise("").alias("error"), F.lit("").alias("course_id"), F.lit("").alias("course_name"), F.lit("t").alias("title"))
-    context = p.where("page_id % 3 > 0").select(F.col("url").alias("page_url"), F.concat(F.lit("c"), k % 5).alias("course_id"), F.lit("Course").alias("course_name"))
-    good, bad = scan.page_results(rows, context)
+    rows = p.select("page_id", F.col("url").alias("page_url"), (k % 4 > 0).alias("ok"), F.when(k % 8 == 0, "timeout").otherwise("").alias("error"), F.lit("").alias("course_id"), F.lit("").alias("course_name"), F.lit("t").alias("title"))
+    context = p.where("page_id % 3 > 0").select("page_id", F.col("url").alias("page_url"), F.concat(F.lit("c"), k % 5).alias("course_id"), F.lit("Course").alias("course_name"))
+    good, bad = scan.page_results(rows, context, ("page_id", "page_url"))  # URLs come again
     return good.select("page_url", "course_id", F.lit(None).cast("string").alias("error")).unionByName(bad.select("page_url", F.lit(None).cast("string").alias("course_id"), "error"))
 
 
