@@ -42,6 +42,12 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
+def once(c: Column) -> Column:
+    """c, evaluated once a row for all columns and filters above it: what draws a random number (here without effect) is neither copied
+    into the expressions that refer to it nor pushed down with them."""
+    return F.when(F.rand(0) >= 0, c)
+
+
 def text(c: Column | str) -> Column:
     """Trimmed; null becomes empty."""
     c = F.col(c) if isinstance(c, str) else c

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import render
 from quillmill.functions.slices import sliced
-from quillmill.functions.text import is_script_gate, text, text_or, units, word_count
+from quillmill.functions.text import is_script_gate, once, text, text_or, units, word_count
 from quillmill.operators import chunking, extraction, jobs, pdf
 from quillmill.sources import docx, html
 
@@ -96,16 +96,16 @@ def extract(records: DataFrame, pdf_items: DataFrame | None = None, size: int =
         rows = rows.withColumn("pdf_text", F.lit(None).cast("string"))
     d = F.col("d")
     native, kind, inline = d["source_category"] == "canvas_native_html", d["source_category"], d["fetch_mode"] == "inline_html"
-    rows = rows.withColumn("__refused", F.when(d["supported"], _refused()))
+    rows = rows.withColumn("__refused", once(F.when(d["supported"], _refused())))
     go = d["supported"] & F.col("__refused").isNull()
     page = F.when(go & inline, F.col("body_html")).when(go & (native | (kind == "html_file")), F.col("text"))
     rows = rows.withColumn("__p", _parsed(page, F.when(go & (kind == "docx"), F.coalesce("content", F.lit(b""))), F.col("title")))
     fall_back = text_or(F.when(native, text_or("body_text", "excerpt")).when(kind == "html_file", F.col("text")), "__p.text")
     plain = F.when(kind == "txt", F.col("text")).when(kind == "pdf", F.col("pdf_text")).otherwise(fall_back)
     own = F.when(F.size("__p.blocks") > 0, F.col("__p.blocks")).when(go & F.col("__p.error").isNull() & (kind != "docx"), chunking.text_blocks(plain, F.col("title")))
-    rows = rows.withColumn("__b", F.filter(F.coalesce(own, F.array().cast(html.BLOCKS)), lambda b: text(b["text"]) != ""))
-    rows = rows.withColumn("__t", render.blocks_text(F.col("__b")))
-    rows = rows.withColumn("extracted_text", F.when(is_script_gate(F.col("__t")), "").otherwise(F.col("__t")))
+    rows = rows.withColumn("__b", once(F.filter(F.coalesce(own, F.array().cast(html.BLOCKS)), lambda b: text(b["text"]) != "")))
+    rows = rows.withColumn("__t", once(render.blocks_text(F.col("__b"))))
+    rows = rows.withColumn("extracted_text", once(F.when(is_script_gate(F.col("__t")), "").otherwise(F.col("__t"))))
     reason = F.when(~d["supported"], d["reason"]).otherwise(F.coalesce("__refused", "__p.error", F.when(F.col("extracted_text") == "", jobs.NO_TEXT), F.lit("")))
     status = F.when(~d["supported"], "unsupported").when(F.col("reason") != "", "failed").otherwise("completed")
     rows = rows.withColumn("reason", reason).withColumn("status", status)
@@ -142,5 +142,6 @@ def drain(queue: DataFrame, records: DataFrame, pdf_items: DataFrame | None = No
     ran = began.where(F.col("status") == "processing")
     done = extract(records.join(ran.select("content_object_id").distinct(), "content_object_id", "left_semi"), pdf_items)
     own = describe(records).select("content_object_id", F.col("d.supported").alias("supported"), F.col("d.reason").alias("unsupported_reason"))
-    results = done.where(F.col("status") != "unsupported").select("content_object_id", "extracted_text", F.when(F.col("status") == "failed", F.col("reason")).alias("error"))
+    some = F.substring(text("extracted_text"), 1, 1).alias("extracted_text")  # whether there is a text is all that a job asks
+    results = done.where(F.col("status") != "unsupported").select("content_object_id", some, F.when(F.col("status") == "failed", F.col("reason")).alias("error"))
     return jobs.finished(ran, own, results).unionByName(began.where(F.col("status") != "processing").withColumn("reason", F.lit(""))), done
