@@ -81,13 +81,15 @@ def artifact_kind(upload: Column, file_name: Column) -> Column:
     return F.when(filled(upload), F.when(F.coalesce(file_name, F.lit("")).rlike(r"(?i)\.pdf$"), "pdf").otherwise("file"))
 
 
-def body_parts(content_type: Column, upload: Column, file_name: Column, source_url: Column, page_url: Column, external_url: Column, status: Column, extracted: Column, words: Column, chunks: Column) -> Column:
+def body_parts(content_type: Column, upload: Column, file_name: Column, source_url: Column, page_url: Column, external_url: Column, status: Column, extracted: Column, words: Column, chunks: Column, strict: bool = False) -> Column:
     """What a content row's page is made of, in order, after its provenance: (kind, text). Kinds: pdf and file (the attached artifact),
-    paragraph, heading, extracted (the extracted text follows) and body (the page's own text follows)."""
+    paragraph, heading, extracted (the extracted text follows) and body (the page's own text follows). strict: an empty extracted text is one
+    too, and a null count makes its line null."""
     part = lambda kind, c=None: F.struct((kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), (F.lit("") if c is None else c).alias("text"))
     from_where = text_or(source_url, page_url, F.lit(""))
-    some = F.length(text(extracted)) > 0
-    told = F.concat(F.lit("Extraction: "), text_or(status, F.lit("extracted")), F.lit(" · "), F.coalesce(words, F.lit(0)).cast("string"), F.lit(" words · "), F.coalesce(chunks, F.lit(0)).cast("string"), F.lit(" chunks"))
+    some = extracted.isNotNull() if strict else F.length(text(extracted)) > 0
+    count = lambda c: (c if strict else F.coalesce(c, F.lit(0))).cast("string")
+    told = F.concat(F.lit("Extraction: "), text_or(status, F.lit("extracted")), F.lit(" · "), count(words), F.lit(" words · "), count(chunks), F.lit(" chunks"))
     found = F.when(some, F.array(part("heading", F.lit("Extracted Content")), part("paragraph", told), part("extracted")))
     none = F.array().cast("array<struct<kind:string,text:string>>")
     kind = artifact_kind(upload, file_name)
