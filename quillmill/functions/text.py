@@ -77,28 +77,30 @@ def units(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
-def _hashed(texts: pa.Array) -> pa.Array:
-    """All texts of a slice at once: each UTF-16 unit times its power of 31, summed per text in wrapping 32 bits."""
-    coded = [t.encode("utf-16-le", "surrogatepass") for t in texts.to_pylist()]
-    n = np.array([len(c) // 2 for c in coded], np.int64)
+def _hashed(texts: pa.Array, points: bool = False) -> pa.Array:
+    """All texts of a slice at once: each UTF-16 unit (or code point) times its power of 31, summed per text in wrapping 32 bits."""
+    coding, unit = ("utf-32-le", np.dtype(np.uint32)) if points else ("utf-16-le", np.dtype(np.uint16))
+    coded = [t.encode(coding, "surrogatepass") for t in texts.to_pylist()]
+    n = np.array([len(c) // unit.itemsize for c in coded], np.int64)
     if not n.sum():
         return pa.array(["h0"] * len(n), pa.string())
     powers = np.full(n.max(), 31, np.uint32)
     powers[0] = 1
     powers = np.cumprod(powers, dtype=np.uint32)
-    units16 = np.frombuffer(b"".join(coded), np.uint16).astype(np.uint32)
-    left = np.repeat(np.cumsum(n), n) - np.arange(len(units16)) - 1  # units after each one in its text
+    codes = np.frombuffer(b"".join(coded), unit).astype(np.uint32, copy=False)
+    left = np.repeat(np.cumsum(n), n) - np.arange(len(codes)) - 1  # units after each one in its text
     total, filled_ = np.zeros(len(n), np.uint32), n > 0
-    total[filled_] = np.add.reduceat(units16 * powers[left], (np.cumsum(n) - n)[filled_])
+    total[filled_] = np.add.reduceat(codes * powers[left], (np.cumsum(n) - n)[filled_])
     return pa.array([f"h{abs(x)}" for x in total.view(np.int32).astype(np.int64).tolist()], pa.string())
 
 
-def stable_hash(c: Column) -> Column:
-    """h and the absolute value of a 31-based rolling hash over UTF-16 units, wrapped to 32 bits."""
+def stable_hash(c: Column, points: bool = False) -> Column:
+    """h and the absolute value of a 31-based rolling hash over UTF-16 units, wrapped to 32 bits. points: over code points, which differ
+    from units beyond the basic plane."""
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return sliced(((b,) for b in batches), _hashed)
+        return sliced(((b,) for b in batches), lambda t: _hashed(t, points))
 
     return run(F.coalesce(c, F.lit("")))
 
